@@ -64,7 +64,8 @@ def _resolve_clashes(dfs, keys, on_clash):
 def _stack_and_group(parts, keys, names):
     tagged = [p.withColumn("__from", F.lit(i)) for i, p in enumerate(parts)]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    repeats = F.greatest(*[F.sum((q("__from") == i).cast("int")) for i in range(len(parts))])
+    counts = [F.count_if(q("__from") == i) for i in range(len(parts))]
+    repeats = F.greatest(*counts) if len(counts) > 1 else counts[0]
     # One row per table and key, so max() just picks the single value of the table that has the column.
     grouped = stacked.groupBy(*qs(keys)).agg(*[F.max(q(n)).alias(n) for n in names], repeats.alias("__n"))
     checked = F.when(q("__n") > 1, F.raise_error(F.lit("merge_features: a key occurs twice in one table")))

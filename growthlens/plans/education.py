@@ -38,16 +38,17 @@ DROPPED_EXPENDITURE = "Capita outlay and debt charges"
 EXPENDITURES = [DROPPED_EXPENDITURE, "Teachers salaries", "Total expenditures", "Total operating expenditures"]
 GRADUATION = ["Extended-time", "On-time"]
 INSTITUTIONS = ["College", "Elementary and/or High School", "University"]
+PARTICIPATION_DIMENSIONS = ["Participation rate by type of institution attended", "Type of institution attended"]
 _KEYS = ["REF_DATE", "GEO"]
 
 
 def category_table(
-    raw: DataFrame, category: str, values: Sequence[str], *, ordinal: Sequence[str], regions: Sequence[str] = REGIONS,
+    raw: DataFrame, category: str, values: Sequence[str], *, ordinal: Sequence[str], regions: Sequence[str] | None = REGIONS,
     only_listed: bool = False,
 ) -> DataFrame:
     """(REF_DATE year, GEO) with one column per category: the first known value of each cell in input order."""
     rows = require(raw, ["REF_DATE", "GEO", category, "VALUE", *ordinal])
-    rows = keep_values(rows, "GEO", regions)
+    rows = keep_values(rows, "GEO", regions) if regions else rows
     if only_listed:
         rows = keep_values(rows, category, values)
     rows = rows.withColumns({"REF_DATE": year_of("REF_DATE"), "VALUE": to_number("VALUE")})
@@ -77,10 +78,10 @@ def graduation_rates(raw: DataFrame, *, ordinal: Sequence[str]) -> DataFrame:
     return interpolate(wide, keys=["GEO"], order="REF_DATE", cols=GRADUATION)
 
 
-def participation_rates(
-    raw: DataFrame, *, ordinal: Sequence[str], dimension: str = "Participation rate by type of institution attended"
-) -> DataFrame:
-    """Participation by institution; `dimension` names the category column, which differs between editions."""
+def participation_rates(raw: DataFrame, *, ordinal: Sequence[str], dimension: str | None = None) -> DataFrame:
+    """Participation by institution; `dimension` names the category column, by default the one the edition has."""
+    dimension = dimension or next((d for d in PARTICIPATION_DIMENSIONS if d in raw.columns), PARTICIPATION_DIMENSIONS[0])
+    raw = require(raw, ["REF_DATE", "GEO", dimension, "VALUE", *ordinal])
     rows = drop_value(raw, dimension, "Total participation rate")
     return category_table(rows, dimension, INSTITUTIONS, ordinal=ordinal)
 

@@ -20,7 +20,7 @@ from growthlens.operators.pivots import pivot_panel
 from growthlens.operators.project import keep_range, keep_values, numeric_cols, require
 from growthlens.operators.series import interpolate, lags, rolling_mean
 from growthlens.plans.regions import HOUSEHOLD_ALIASES, REGIONS
-from growthlens.sources.files import read_tables, with_name_part
+from growthlens.sources.files import plain_path, read_tables, with_name_part
 from growthlens.sources.sheets import read_sheet
 
 LAST_YEAR = 2036
@@ -72,7 +72,7 @@ def yearly_households(sheets: DataFrame) -> DataFrame:
     return filled.withColumn("households", whole)
 
 
-def households(sheets: DataFrame, *, aliases: Mapping[str, str] = HOUSEHOLD_ALIASES) -> DataFrame:
+def households(sheets: DataFrame, *, aliases: Mapping[str, str] | DataFrame = HOUSEHOLD_ALIASES) -> DataFrame:
     """Monthly (REF_DATE, GEO, Number_of_Households) per region and for Canada, the sum of all regions."""
     yearly = yearly_households(sheets)
     national = yearly.groupBy("Year").agg(F.lit("Canada").alias("region"), F.sum("households").alias("households"))
@@ -87,7 +87,7 @@ def households(sheets: DataFrame, *, aliases: Mapping[str, str] = HOUSEHOLD_ALIA
 
 
 def housing_starts(
-    raw: DataFrame, *, ordinal: Sequence[str], regions: Sequence[str] = REGIONS, first: str = "1976-01-01",
+    raw: DataFrame, *, ordinal: Sequence[str], regions: Sequence[str] | None = REGIONS, first: str = "1976-01-01",
     null_as_zero: bool = True,
 ) -> DataFrame:
     """Monthly starts, completions and units under construction from quarterly counts."""
@@ -97,8 +97,9 @@ def housing_starts(
     )
     # The calendar runs over all regions of the input; the region filter follows it.
     edges = rows.agg(F.struct(F.min("REF_DATE").alias("lo"), F.max("REF_DATE").alias("hi"))).scalar()
+    rows = keep_values(rows, "GEO", regions) if regions else rows
     wide = pivot_panel(
-        keep_values(rows, "GEO", regions), keys=["REF_DATE", "GEO"], category="Housing estimates", values=STARTS,
+        rows, keys=["REF_DATE", "GEO"], category="Housing estimates", values=STARTS,
         value="VALUE", how="first", ordinal=list(ordinal),
     )
     dense = densify(wide, time="REF_DATE", keys=["GEO"], start=edges["lo"], end=edges["hi"])
@@ -106,10 +107,11 @@ def housing_starts(
     return keep_range(monthly, "REF_DATE", F.lit(first).cast("date")).select("REF_DATE", "GEO", *qs(STARTS))
 
 
-def price_index(raw: DataFrame, *, regions: Sequence[str] = REGIONS) -> DataFrame:
+def price_index(raw: DataFrame, *, regions: Sequence[str] | None = REGIONS) -> DataFrame:
     """Monthly new-housing price index; a repeated (month, region, index) is an error."""
     rows = require(raw, ["REF_DATE", "GEO", "New housing price indexes", "VALUE"])
-    rows = keep_values(rows, "GEO", regions).withColumns({"REF_DATE": month_year("REF_DATE"), "VALUE": to_number("VALUE")})
+    rows = keep_values(rows, "GEO", regions) if regions else rows
+    rows = rows.withColumns({"REF_DATE": month_year("REF_DATE"), "VALUE": to_number("VALUE")})
     return pivot_panel(
         rows.dropna(subset=["REF_DATE"]), keys=["REF_DATE", "GEO"], category="New housing price indexes",
         values=PRICE_INDEX, value="VALUE", how="strict",
@@ -123,7 +125,7 @@ def housing_features(households: DataFrame, starts: DataFrame, prices: DataFrame
 def housing_types(spark: SparkSession, folder: str) -> DataFrame:
     """All tenure tables of a folder, region taken from the file name, ordered by year and region."""
     rows = read_tables(spark, folder, with_source=True)
-    rows = rows.withColumn("Geo", bracket_or_tail(F.url_decode("source_file"))).drop("source_file")
+    rows = rows.withColumn("Geo", bracket_or_tail(plain_path(q("source_file")))).drop("source_file")
     counts = [c for c in rows.columns if c not in ("Year", "Geo")]
     typed = rows.withColumns({c: plain_number(c) for c in counts} | {"Year": to_number("Year").cast("int")})
     return typed.dropna(subset=["Year"]).orderBy("Year", "Geo")
@@ -136,7 +138,7 @@ def future_housing_types(types: DataFrame, first: int = 2025, end: int = 2036) -
 def tenure_sheets(spark: SparkSession, path: str, *, labels: Sequence[str] = ("Historical estimates", "Medium")) -> DataFrame:
     """Clean tenure tables from raw report sheets: yearly to 2036, in dwellings, the rate in percent."""
     rows = read_sheet(spark, path, columns=TENURE_COLUMNS, skip=2, label_col=0, keep_labels=labels)
-    rows = rows.withColumn("Geo", bracket_or_tail(F.url_decode("source_file")))
+    rows = rows.withColumn("Geo", bracket_or_tail(plain_path(q("source_file"))))
     values = [c for c in TENURE_COLUMNS if c != "Year"]
     typed = rows.select(
         "Geo", q("Year").try_cast("int").alias("Year"), *[plain_number(c).alias(c) for c in values]

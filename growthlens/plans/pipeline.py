@@ -52,7 +52,7 @@ OUTPUTS = [
 ]
 
 
-def run_all(spark: SparkSession, raw: str, out: str, *, fmt: str = "parquet", trees: int = 100) -> DataFrame:
+def run_all(spark: SparkSession, raw: str, out: str, *, trees: int = 100) -> DataFrame:
     """Run every branch whose inputs exist and report what was written. A branch without input is skipped; any other
     failure is raised. Each table is written once and later steps read it from there."""
     done: dict[str, str] = {}
@@ -71,7 +71,7 @@ def run_all(spark: SparkSession, raw: str, out: str, *, fmt: str = "parquet", tr
         except KeyError as e:
             log.warning("%s skipped: needs %s", name, e)
             return
-        done[name] = write_table(df, f"{out}/{name}", fmt="parquet")
+        done[name] = write_table(df, f"{out}/{name}")
 
     def back(name: str) -> DataFrame:
         return spark.read.parquet(done[name])

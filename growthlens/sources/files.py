@@ -42,7 +42,7 @@ def read_tables(spark: SparkSession, path: str, *, with_source: bool = False, wi
     One scan of the first block of each file finds the headers (an action); then one scan per distinct header.
     """
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
+        plain_path(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("line"),
         "value",
@@ -71,7 +71,12 @@ def corrupt_rows(spark: SparkSession, path: str | list[str], schema: str | T.Str
 
 def with_name_part(df: DataFrame, pattern: str, out: str, *, source: str = "source_file") -> DataFrame:
     """Column taken from the source file name by the first group of a pattern."""
-    return df.withColumn(out, F.trim(F.regexp_extract(F.url_decode(F.col(source)), pattern, 1)))
+    return df.withColumn(out, F.trim(F.regexp_extract(plain_path(F.col(source)), pattern, 1)))
+
+
+def plain_path(c: Column) -> Column:
+    """Path as text: file metadata escapes blanks and the like, but leaves `+` as it is."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
 def _scan(spark, path, schema, on_bad):

@@ -25,7 +25,7 @@ def read_sheet(
     rows under those labels remain, so rows are chosen by content and not by fixed line numbers.
     """
     sheets = spark.read.format("binaryFile").load(path)
-    text = F.decode("content", F.lit(encoding))
+    text = F.decode("content", encoding)
     lines = sheets.select(
         F.element_at(F.split("path", "/"), -1).alias("source_file"),
         F.posexplode(F.split(text, "\r?\n")).alias("line", "value"),
