@@ -17,11 +17,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from growthlens.operators.common import as_list, join_back, q, qs
+from growthlens.operators.common import as_list, q, qs
 
 _START, _END = W.unboundedPreceding, W.unboundedFollowing
 
 
+# Key and block of a row as one struct. It is never NULL even if a key is, so windows, the summary and the join back
+# all use the same hash partitioning. The keys travel inside it only, which lets the rows and their summary read one
+# and the same exchange.
+_CELL = "__cell"
+
+
+def _celled(df, keys, blocks):
+    cell = F.struct(
+        *[q(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[q(b).alias(f"__b{i}") for i, b in enumerate(blocks)]
+    )
+    return df.withColumn(_CELL, cell).drop(*[k for k in keys if k not in blocks])
+
+
+def _restored(columns, keys, blocks):
+    inside = {k: q(_CELL)[f"__k{i}"].alias(k) for i, k in enumerate(keys) if k not in blocks}
+    return [inside.get(c, q(c)) for c in columns]
+
+
+def _block_table(rows, keys, blocks, *aggs):
+    """One row per cell with its key and block columns, and the windows that run over a key's blocks."""
+    table = rows.groupBy(_CELL).agg(*aggs).select("*", f"{_CELL}.*")
+    k, b = [f"__k{i}" for i in range(len(keys))], [f"__b{i}" for i in range(len(blocks))]
+    return table, _asc(k, b), _desc(k, b)
+
+
 def _asc(keys, order):
     return W.partitionBy(*qs(keys)).orderBy(*qs(order))
 
@@ -40,21 +65,19 @@ def position(
     total: str | None = None,
 ) -> DataFrame:
     """1-based place of a row in its series, and optionally the length of the series."""
-    order = as_list(order)
+    order = [o for o in as_list(order) if o not in keys]
     if block_by is None:
         df = df.withColumn(out, F.row_number().over(_asc(keys, order)).cast("long"))
         return df.withColumn(total, F.count("*").over(W.partitionBy(*qs(keys)))) if total else df
     blocks = as_list(block_by)
-    cell = [*keys, *[b for b in blocks if b not in keys]]
-    sizes = df.groupBy(*qs(cell)).agg(F.count("*").alias("__size"))
-    before = F.coalesce(F.sum("__size").over(_asc(keys, blocks).rowsBetween(_START, -1)), F.lit(0))
-    sizes = sizes.withColumn("__base", before)
-    if total:
-        sizes = sizes.withColumn(total, F.sum("__size").over(W.partitionBy(*qs(keys))))
-    rows = df.withColumn("__r", F.row_number().over(_asc(cell, order)))
-    rows = join_back(rows, sizes, cell)
-    extra = [q(total)] if total else []
-    return rows.select(*qs(df.columns), (q("__base") + q("__r")).alias(out), *extra)
+    rows = _celled(df, keys, blocks)
+    sizes, up, _ = _block_table(rows, keys, blocks, F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(up.rowsBetween(_START, -1)), F.lit(0))
+    extra = {"__base": before} | ({total: F.sum("__size").over(up.rowsBetween(_START, _END))} if total else {})
+    sizes = sizes.withColumns(extra).select(*qs([_CELL, *extra]))
+    rows = rows.withColumn("__r", F.row_number().over(_asc([_CELL], order))).join(sizes, _CELL, "left")
+    added = [q(total)] if total else []
+    return rows.select(*_restored(df.columns, keys, blocks), (q("__base") + q("__r")).alias(out), *added)
 
 
 def interpolate(
@@ -86,7 +109,8 @@ def interpolate(
         step = (nxt["v"] - prev["v"]) * (q("__n") - prev["n"]) / (nxt["n"] - prev["n"])
         value = F.coalesce(q(c).cast("double"), prev["v"] + step, prev["v"])
         filled[c] = F.coalesce(value, nxt["v"]) if direction == "both" else value
-    return rows.withColumns(filled).select(*qs(df.columns))
+    columns = qs(df.columns) if blocks is None else _restored(df.columns, keys, blocks)
+    return rows.withColumns(filled).select(*columns)
 
 
 def _known(i: int, c: str, n: Column) -> Column:
@@ -107,14 +131,13 @@ def _nearest(rows, keys, order, cols):
 
 
 def _nearest_in_blocks(df, keys, order, blocks, cols):
-    cell = [*keys, *[b for b in blocks if b not in keys]]
-    rows = df.withColumn("__r", F.row_number().over(_asc(cell, order)).cast("long"))
+    rows = _celled(df, keys, blocks)
+    rows = rows.withColumn("__r", F.row_number().over(_asc([_CELL], order)).cast("long"))
     marks = rows.withColumns({f"__v{i}": _known(i, c, q("__r")) for i, c in enumerate(cols)})
     edges = [f(q(f"__v{i}")).alias(f"__{n}{i}") for i in range(len(cols)) for n, f in (("f", F.min), ("l", F.max))]
-    summary = marks.groupBy(*qs(cell)).agg(F.count("*").alias("__size"), *edges)
+    summary, up, down = _block_table(marks, keys, blocks, F.count("*").alias("__size"), *edges)
 
-    earlier = _asc(keys, blocks).rowsBetween(_START, -1)
-    later = _desc(keys, blocks).rowsBetween(_START, -1)
+    earlier, later = up.rowsBetween(_START, -1), down.rowsBetween(_START, -1)
     summary = summary.withColumn("__base", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
     shifted = {
         f"__{n}{i}": F.when(
@@ -127,10 +150,10 @@ def _nearest_in_blocks(df, keys, order, blocks, cols):
     summary = summary.withColumns(shifted)
     carry = {f"__cp{i}": F.last(q(f"__l{i}"), ignorenulls=True).over(earlier) for i in range(len(cols))}
     carry |= {f"__cx{i}": F.last(q(f"__f{i}"), ignorenulls=True).over(later) for i in range(len(cols))}
-    summary = summary.withColumns(carry).select(*qs([*cell, "__base", *carry]))
+    summary = summary.withColumns(carry).select(*qs([_CELL, "__base", *carry]))
 
-    rows = join_back(rows, summary, cell).withColumn("__n", q("__base") + q("__r"))
-    rows = _nearest(rows, cell, order, cols)
+    rows = rows.join(summary, _CELL, "left").withColumn("__n", q("__base") + q("__r"))
+    rows = _nearest(rows, [_CELL], order, cols)
     near = {f"__p{i}": F.coalesce(q(f"__p{i}"), q(f"__cp{i}")) for i in range(len(cols))}
     near |= {f"__x{i}": F.coalesce(q(f"__x{i}"), q(f"__cx{i}")) for i in range(len(cols))}
     return rows.withColumns(near)
@@ -151,14 +174,14 @@ def lags(
     if blocks is None:
         w = _asc(keys, order)
         return df.withColumns({f"{c}_lag_{k}": F.lag(q(c), k).over(w) for c in cols for k in ks})
-    rows, cell = _with_carried_values(df, keys, order, blocks, cols, max(ks))
-    w = _asc(cell, order)
+    rows = _with_carried_values(df, keys, order, blocks, cols, max(ks))
+    w = _asc([_CELL], order)
     out = {}
     for i, c in enumerate(cols):
         for k in ks:
             carried = F.try_element_at(q(f"__tail{i}"), (q("__r") - F.lit(k + 1)).cast("int"))["v"]
             out[f"{c}_lag_{k}"] = F.when(q("__r") > k, F.lag(q(c), k).over(w)).otherwise(carried)
-    return rows.withColumns(out).select(*qs([*df.columns, *out]))
+    return rows.withColumns(out).select(*_restored(df.columns, keys, blocks), *qs(list(out)))
 
 
 def rolling_mean(
@@ -179,8 +202,8 @@ def rolling_mean(
             f"{c}_rolling_mean_{n}": F.when(F.count(q(c)).over(frame) == n, F.avg(q(c)).over(frame)) for c in cols
         }
         return df.withColumns(means)
-    rows, cell = _with_carried_values(df, keys, order, blocks, cols, n - 1)
-    frame = _asc(cell, order).rowsBetween(-(n - 1), 0)
+    rows = _with_carried_values(df, keys, order, blocks, cols, n - 1)
+    frame = _asc([_CELL], order).rowsBetween(-(n - 1), 0)
     out = {}
     for i, c in enumerate(cols):
         tail = F.when(q("__r") < n, F.coalesce(q(f"__tail{i}"), F.array().cast("array<struct<v:double>>")))
@@ -192,25 +215,24 @@ def rolling_mean(
         total = F.coalesce(F.sum(q(c).cast("double")).over(frame), F.lit(0.0))
         total = total + F.when(q("__r") < n, held_sum).otherwise(0.0)
         out[f"{c}_rolling_mean_{n}"] = F.when(known == n, total / F.lit(n))
-    return rows.withColumns(out).select(*qs([*df.columns, *out]))
+    return rows.withColumns(out).select(*_restored(df.columns, keys, blocks), *qs(list(out)))
 
 
 def _with_carried_values(df, keys, order, blocks, cols, k):
     """Rows with their place in the block and, per column, the last k values of the blocks before it."""
-    cell = [*keys, *[b for b in blocks if b not in keys]]
-    rows = df.withColumn("__r", F.row_number().over(_asc(cell, order)))
-    last = df.withColumn("__back", F.row_number().over(_desc(cell, order))).where(q("__back") <= k)
-    kept = F.sort_array(F.collect_list(F.struct(-q("__back"), *[q(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])))
-    tails = last.groupBy(*qs(cell)).agg(kept.alias("__kept"))
+    celled = _celled(df, keys, blocks)
+    rows = celled.withColumn("__r", F.row_number().over(_asc([_CELL], order)))
+    last = celled.withColumn("__back", F.row_number().over(_desc([_CELL], order))).where(q("__back") <= k)
+    values = [q(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]
+    kept = F.sort_array(F.collect_list(F.struct(-q("__back"), *values)))
+    tails, up, _ = _block_table(last, keys, blocks, kept.alias("__kept"))
     # k blocks of at least one row each always hold the k rows wanted.
-    recent = F.flatten(F.collect_list("__kept").over(_asc(keys, blocks).rowsBetween(-k, -1)))
+    recent = F.flatten(F.collect_list("__kept").over(up.rowsBetween(-k, -1)))
     tails = tails.withColumn("__recent", recent)
-    split = {
-        f"__tail{i}": F.transform(F.slice(q("__recent"), F.greatest(F.size("__recent") - k + 1, F.lit(1)), k), _pick(i))
-        for i in range(len(cols))
-    }
-    tails = tails.withColumns(split).select(*qs([*cell, *split]))
-    return join_back(rows, tails, cell), cell
+    newest = F.slice(q("__recent"), F.greatest(F.size("__recent") - k + 1, F.lit(1)), k)
+    split = {f"__tail{i}": F.transform(newest, _pick(i)) for i in range(len(cols))}
+    tails = tails.withColumns(split).select(*qs([_CELL, *split]))
+    return rows.join(tails, _CELL, "left")
 
 
 def _pick(i: int):
@@ -220,6 +242,7 @@ def _pick(i: int):
 def _scope(keys, order, scope, block_by):
     order = as_list(order)
     if scope == "group":
+        order = [o for o in order if o not in keys]
         return list(keys), order, as_list(block_by) if block_by is not None else None
     if scope != "frame":
         raise ValueError(f"unknown scope {scope!r}")

@@ -41,31 +41,26 @@ def quantiles(
         *[
             F.struct(
                 F.lit(i).alias("i"),
-                F.lit(float(p)).alias("p"),
                 q("__e")[edges.index(_bracket(p)[0])].alias("lo"),
                 q("__e")[edges.index(_bracket(p)[1])].alias("hi"),
             )
             for i, p in enumerate(probs)
         ]
     )
+    brackets = F.struct(asked.alias("asked"), q("n")).alias("__s")
     if keys:
-        placed = join_back(rows, sketch.select(*qs(keys), asked.alias("__a")), keys)
+        placed = join_back(rows, sketch.select(*qs(keys), brackets), keys)
     else:
-        placed = rows.withColumn("__a", sketch.select(asked).scalar())
-    placed = placed.select(*qs(keys), "__v", F.explode("__a").alias("__a"))
+        placed = rows.withColumn("__s", sketch.select(brackets).scalar())
+    placed = placed.select(*qs(keys), "__v", q("__s")["n"].alias("n"), F.explode(q("__s")["asked"]).alias("__a"))
     side = F.when(q("__v") < q("__a")["lo"], -1).when(q("__v") > q("__a")["hi"], 1).otherwise(0)
-    placed = placed.select(*qs(keys), "__v", q("__a")["i"].alias("__i"), side.alias("__side"))
+    placed = placed.select(*qs(keys), "__v", "n", q("__a")["i"].alias("__i"), side.alias("__side"))
     inside = F.when(q("__side") == 0, q("__v"))
     steps = placed.groupBy(*qs(keys), "__i", "__side", inside.alias("__in")).agg(
-        F.count("*").alias("__m"), F.min("__v").alias("__min"), F.max("__v").alias("__max")
+        F.count("*").alias("__m"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.max("n").alias("n")
     )
     w = W.partitionBy(*qs(keys), "__i").orderBy("__side", "__in").rowsBetween(W.unboundedPreceding, 0)
     steps = steps.withColumn("__upto", F.sum("__m").over(w))
-    counts = sketch.select(*qs(keys), "n")
-    if keys:
-        steps = join_back(steps, counts, keys)
-    else:
-        steps = steps.withColumn("n", counts.select(q("n")).scalar())
     prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), q("__i") + 1)
     steps = steps.withColumn("__rank", prob * (q("n") - 1))
     low, high = F.floor("__rank"), F.ceil("__rank")
