@@ -65,7 +65,7 @@ def fit_additive(
         train = pdf[pdf["__train"] & pdf["__y"].notna()]
         test = pdf[~pdf["__train"]]
         if len(train) < 2 or test.empty:
-            return pd.DataFrame({f.name: [] for f in schema})
+            return pdf.iloc[:0][[*keys, time]].assign(**{target: 0.0, "predicted": 0.0})
         held = pdf.loc[pdf["__train"], x_cols].ffill().iloc[-1].to_numpy(float)
         fitted = _fit(
             train["__day"].to_numpy(), train["__y"].to_numpy(float), train[x_cols].to_numpy(float),

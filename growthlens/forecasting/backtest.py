@@ -18,6 +18,10 @@ from growthlens.operators.splits import split_train_test
 from growthlens.session import ensure_checkpoint_dir
 
 
+class NotEnoughData(ValueError):
+    """No series is long enough to be split."""
+
+
 def backtest_and_forecast(
     df: DataFrame,
     *,
@@ -44,6 +48,8 @@ def backtest_and_forecast(
     split = split_train_test(
         panel, keys=keys, order=time, frac=frac, last_n=last_n, min_rows=min_rows
     ).checkpoint()
+    if split.isEmpty():
+        raise NotEnoughData(f"no series has {min_rows} rows")
     common = {"keys": keys, "time": time, "target": target}
 
     def test_rows(name: str) -> DataFrame:
@@ -76,5 +82,5 @@ def backtest_and_forecast(
 
     used = {r["best_model"] for r in best.select("best_model").distinct().collect()}  # at most one row per candidate
     if not used:
-        raise ValueError("no series has enough rows to backtest")
+        raise NotEnoughData("no candidate could be scored")
     return metrics, reduce(DataFrame.unionByName, [ahead(c) for c in candidates if c in used])

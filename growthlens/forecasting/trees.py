@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from growthlens.operators.calendars import carry_last
 from growthlens.operators.common import q, qs
+from growthlens.operators.project import complete_rows
 
 # A region is a categorical feature only up to this many regions; beyond it the lag features carry the level.
 MAX_CATEGORIES = 1000
@@ -39,6 +40,7 @@ def fit_trees(
     """
     rows = df.select(*qs([*keys, time, part]), q(target).cast("double").alias("__y"), *_features(features))
     names = [f"__f{i}" for i in range(len(features))]
+    rows = complete_rows(rows, names)
     stages, bins = [], 32
     if key_feature:
         rows = rows.withColumn("__key", F.concat_ws("\u0001", *qs(keys)))
@@ -47,7 +49,7 @@ def fit_trees(
             raise ValueError(f"{len(indexer.labels)} series: use key_feature=False")
         bins = max(bins, len(indexer.labels) + 1)
         stages, names = [indexer], [*names, "__group"]
-    stages.append(VectorAssembler(inputCols=names, outputCol="__features", handleInvalid="skip"))
+    stages.append(VectorAssembler(inputCols=names, outputCol="__features", handleInvalid="keep"))
     common = {
         "featuresCol": "__features", "labelCol": "__y", "predictionCol": "predicted", "seed": seed, "maxDepth": depth,
         "maxBins": bins,

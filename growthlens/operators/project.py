@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -37,6 +38,15 @@ def require(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*qs(cols))
 
 
+def complete_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Rows that miss none of the columns (default: all).
+
+    One condition per column: `dropna` makes a single condition over all of them, and the optimizer's constraint
+    sets grow exponentially when such columns are renamed later.
+    """
+    return df.where(reduce(lambda a, b: a & b, (q(c).isNotNull() for c in cols or df.columns)))
+
+
 def numeric_cols(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 

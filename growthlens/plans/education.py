@@ -15,7 +15,7 @@ from growthlens.operators.common import q, qs
 from growthlens.operators.fills import fill_means, repair
 from growthlens.operators.joins import merge_features
 from growthlens.operators.pivots import pivot_panel
-from growthlens.operators.project import drop_sparse, drop_value, keep_range, keep_values, numeric_cols, require, zeros_to_null
+from growthlens.operators.project import complete_rows, drop_sparse, drop_value, keep_range, keep_values, numeric_cols, require, zeros_to_null
 from growthlens.operators.series import interpolate
 from growthlens.operators.splits import min_sample
 from growthlens.operators.stats import iqr_filter
@@ -148,4 +148,4 @@ def education_forecast(
     done = {r["column"] for r in ahead.select("column").distinct().collect()}  # at most one row per column
     kept = [c for c in numbers if c in done]
     wide = pivot_panel(ahead, keys=_KEYS, category="column", values=kept, value="y", how="strict")
-    return (wide.dropna(subset=kept) if how == "inner" else wide).select(*_KEYS, *qs(kept))
+    return (complete_rows(wide, kept) if how == "inner" else wide).select(*_KEYS, *qs(kept))

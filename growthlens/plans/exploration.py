@@ -13,7 +13,7 @@ from growthlens.forecasting.scoring import score
 from growthlens.forecasting.trees import fit_trees
 from growthlens.operators.aggregates import supply_demand
 from growthlens.operators.common import q, qs
-from growthlens.operators.project import drop_value, keep_values
+from growthlens.operators.project import complete_rows, drop_value, keep_values
 from growthlens.operators.series import lags
 from growthlens.operators.splits import split_train_test
 from growthlens.operators.stats import correlation, distribution, profile, zscore
@@ -23,7 +23,7 @@ from growthlens.plans.housing import FEATURES, PRICE_INDEX, STARTS
 def housing_exploration(features: DataFrame) -> dict[str, DataFrame]:
     """Summary, outliers, clusters, correlations, distributions, supply against demand; provinces only where the
     national row would dominate."""
-    rows = features.dropna(subset=list(PRICE_INDEX.values()))
+    rows = complete_rows(features, list(PRICE_INDEX.values()))
     provinces = drop_value(rows, "GEO", "Canada")
     yearly = rows.withColumn("Year", F.year("REF_DATE"))
     flagged = zscore(rows.select("REF_DATE", "GEO", *qs(STARTS)), STARTS)
@@ -54,7 +54,7 @@ def compare_models(
         seasonalities=[("yearly", 365.25, 10)],
     ).withColumn("model", F.lit("additive"))
     lagged = lags(rows, keys=keys, order=order, cols=["y"], ks=list(range(1, n_lags + 1)))
-    lagged = lagged.withColumn("month", F.month(order)).dropna()
+    lagged = complete_rows(lagged.withColumn("month", F.month(order)))
     split = split_train_test(lagged, keys=keys, order=order, last_n=last_n)
     names = [*[f"y_lag_{k}" for k in range(1, n_lags + 1)], "month"]
     out = additive

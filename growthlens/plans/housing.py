@@ -17,7 +17,7 @@ from growthlens.operators.common import q, qs
 from growthlens.operators.fills import fill_median
 from growthlens.operators.joins import apply_aliases, merge_features
 from growthlens.operators.pivots import pivot_panel
-from growthlens.operators.project import keep_range, keep_values, numeric_cols, require
+from growthlens.operators.project import complete_rows, keep_range, keep_values, numeric_cols, require
 from growthlens.operators.series import interpolate, lags, rolling_mean
 from growthlens.plans.regions import HOUSEHOLD_ALIASES, REGIONS
 from growthlens.sources.files import plain_path, read_tables, with_name_part
@@ -165,7 +165,7 @@ def engineer_features(
     rows = calendar(rows, "REF_DATE")
     cols = [c for c in FEATURES if c in rows.columns]
     rows = rolling_mean(lags(rows, cols=cols, ks=[1, 3, 6], **how), cols=cols, n=3, **how)
-    return rows.dropna(how="any")
+    return complete_rows(rows)
 
 
 def housing_forecast(

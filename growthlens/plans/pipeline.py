@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from growthlens.forecasting.backtest import NotEnoughData
 from growthlens.plans import education, housing, population
 from growthlens.sources.files import ORDINAL, read_tables
 from growthlens.sources.sinks import run_report, write_table
@@ -91,9 +92,12 @@ def run_all(spark: SparkSession, raw: str, out: str, *, trees: int = 100) -> Dat
     )
     save("housing_engineered", lambda: housing.engineer_features(back("housing_features")))
     if "housing_engineered" in done:
-        metrics, ahead = housing.housing_forecast(back("housing_engineered"), trees=trees)
-        save("housing_metrics", lambda: metrics)
-        save("housing_forecast", lambda: ahead)
+        try:
+            metrics, ahead = housing.housing_forecast(back("housing_engineered"), trees=trees)
+            save("housing_metrics", lambda: metrics)
+            save("housing_forecast", lambda: ahead)
+        except NotEnoughData as e:
+            log.warning("housing forecast skipped: %s", e)
     save("housing_types", lambda: housing.housing_types(spark, f"{raw}/{TYPES}"))
     save("future_housing_types", lambda: housing.future_housing_types(back("housing_types")))
 

@@ -14,7 +14,7 @@ from growthlens.operators.aggregates import keep_first, rollup
 from growthlens.operators.common import join_back, q
 from growthlens.operators.joins import apply_aliases, fill_from_row, patch_totals
 from growthlens.operators.pivots import pivot_panel
-from growthlens.operators.project import keep_range, keep_values, require
+from growthlens.operators.project import complete_rows, keep_range, keep_values, require
 from growthlens.plans.regions import AGE_CATEGORIES, FLOW_COLUMNS
 
 FIRST_YEAR = 1991
@@ -82,6 +82,6 @@ def population_metrics(demographics: DataFrame, variant: str = "pipeline") -> Da
     return growth_metrics(demographics, variant)
 
 
-def complete_rows(raw: DataFrame) -> DataFrame:
+def clean_demographics(raw: DataFrame) -> DataFrame:
     """Demographics table without rows that miss any value."""
-    return raw.dropna(how="any")
+    return complete_rows(raw)

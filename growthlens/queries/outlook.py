@@ -20,6 +20,7 @@ from growthlens.forecasting import (
 from growthlens.forecasting.additive import EDUCATION_SEASONS
 from growthlens.forecasting.clusters import region_profiles
 from growthlens.operators.calendars import calendar
+from growthlens.operators.project import complete_rows
 from growthlens.operators.series import lags, rolling_mean
 from growthlens.operators.splits import split_train_test
 from growthlens.queries.inputs import MONTHLY, NATION_ORDERS, monthly, nation_orders, round_cols
@@ -227,7 +228,7 @@ def _features(spark, sf_dir):
     panel = monthly(spark, sf_dir).select("nation", F.col("month").alias("ref_date"), "n_orders")
     out = lags(panel, keys=["nation"], order="ref_date", cols=["n_orders"], ks=[1, 3])
     out = rolling_mean(out, keys=["nation"], order="ref_date", cols=["n_orders"], n=3)
-    return calendar(out, "ref_date").dropna()
+    return complete_rows(calendar(out, "ref_date"))
 
 
 def _trees(spark, sf_dir, kind, trees):

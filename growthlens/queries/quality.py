@@ -21,6 +21,7 @@ from growthlens.functions import (
 from growthlens.operators.aggregates import rollup, supply_demand as demand_against_supply
 from growthlens.operators.fills import fill_constant, fill_group_stat, fill_means, fill_median as fill_with_median, repair
 from growthlens.operators.project import (
+    complete_rows,
     drop_sparse as drop_sparse_columns,
     drop_value,
     every_nth,
@@ -366,7 +367,7 @@ SELECT o_orderstatus, ROUND(SUM(o_orderkey) / COUNT(*), 6) AS o_orderkey, COUNT(
 FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1 ORDER BY 1""")
 def complete_rows_numeric(spark, sf_dir):
     """Complete rows only, numeric columns picked by type, sorted at the end."""
-    orders = table(spark, sf_dir, "orders").dropna(how="any")
+    orders = complete_rows(table(spark, sf_dir, "orders"))
     found = numeric_cols(orders, exclude=["o_custkey"])
     aggs = [F.round(F.sum(c) / F.count("*"), 6).alias(c) if c == "o_orderkey" else money_sum(c).alias(c) for c in found]
     return orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"), *aggs).orderBy("o_orderstatus")

@@ -29,11 +29,18 @@ def read_table(
     files follow the same choice. `with_source` adds `source_file`; `with_ordinal` adds the columns in ORDINAL, which
     order rows as they stand in the input.
     """
-    df = _scan(spark, path, schema, on_bad)
     extra = _provenance(with_source, with_ordinal)
-    if on_bad == "skip":
-        df = df.where(F.col(_CORRUPT).isNull())
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != _CORRUPT], *extra)
+    if on_bad == "fail":
+        fields = _fields(schema)
+        df = spark.read.schema(fields).csv(path, header=True, enforceSchema=False, mode="FAILFAST", quote='"', escape='"')
+        return df.select(*_names(fields), *extra)
+    if on_bad != "skip":
+        raise ValueError(f"unknown choice {on_bad!r}")
+    df, good = _scan_text(spark, path, schema)
+    typed = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in _fields(schema)]
+    names = [f.name for f in _fields(schema)]
+    kept = df.select("*", *extra).where(good)
+    return kept.select(*typed, *[c for c in kept.columns if c not in names and c != _CORRUPT])
 
 
 def read_tables(spark: SparkSession, path: str, *, with_source: bool = False, with_ordinal: bool = False) -> DataFrame:
@@ -61,12 +68,10 @@ def read_tables(spark: SparkSession, path: str, *, with_source: bool = False, wi
 
 
 def corrupt_rows(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
-    """Number of rows per file that do not fit the schema."""
-    df = _scan(spark, path, schema, "skip").select("*", F.col("_metadata.file_name").alias("source_file"))
-    # All columns take part: with fewer, Spark would not parse the rest and find no fault in it.
-    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (_CORRUPT, "source_file")])
-    bad = F.count_if(F.col(_CORRUPT).isNotNull())
-    return df.groupBy("source_file").agg(F.count(whole).alias("rows"), bad.alias("bad_rows"))
+    """Number of rows per file, and of those that do not fit the schema."""
+    df, good = _scan_text(spark, path, schema)
+    marked = df.select(good.alias("good"), F.col("_metadata.file_name").alias("source_file"))
+    return marked.groupBy("source_file").agg(F.count("*").alias("rows"), F.count_if(~F.col("good")).alias("bad_rows"))
 
 
 def with_name_part(df: DataFrame, pattern: str, out: str, *, source: str = "source_file") -> DataFrame:
@@ -79,18 +84,30 @@ def plain_path(c: Column) -> Column:
     return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
-def _scan(spark, path, schema, on_bad):
-    if on_bad not in ("skip", "fail"):
-        raise ValueError(f"unknown choice {on_bad!r}")
-    fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    skip = on_bad == "skip"
-    if skip:
-        fields = T.StructType([*fields.fields, T.StructField(_CORRUPT, T.StringType())])
-    reader = spark.read.schema(fields).option("ignoreCorruptFiles", str(skip).lower())
-    return reader.csv(
-        path, header=True, enforceSchema=False, mode="PERMISSIVE" if skip else "FAILFAST", quote='"', escape='"',
-        columnNameOfCorruptRecord=_CORRUPT,
-    )
+def _fields(schema):
+    return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+
+
+def _names(fields):
+    return [F.col(f"`{f.name}`") for f in fields]
+
+
+def _scan_text(spark, path, schema):
+    """All columns as text, and the condition a good row meets.
+
+    The condition names every typed column, so a row is good or bad whatever columns a query goes on to use; the
+    parser's own corrupt-record mark would depend on column pruning.
+    """
+    fields = _fields(schema)
+    text = T.StructType([*[T.StructField(f.name, T.StringType()) for f in fields], T.StructField(_CORRUPT, T.StringType())])
+    reader = spark.read.schema(text).options(ignoreCorruptFiles=True, columnNameOfCorruptRecord=_CORRUPT)
+    df = reader.csv(path, header=True, enforceSchema=False, mode="PERMISSIVE", quote='"', escape='"')
+    good = F.col(_CORRUPT).isNull()
+    for f in fields:
+        c = F.col(f"`{f.name}`")
+        if not isinstance(f.dataType, T.StringType):
+            good = good & (c.isNull() | c.try_cast(f.dataType).isNotNull())
+    return df, good
 
 
 def _provenance(with_source: bool, with_ordinal: bool) -> list[Column]:

@@ -38,12 +38,12 @@ def read_sheet(
         cell = F.trim(F.col("c").getField(f"c{i}"))
         return F.when(cell != "", cell)
 
-    rows = cells
     picked = [at(i).alias(n) for n, i in columns.items()]
+    filled = F.coalesce(*[at(i) for i in columns.values()]).isNotNull()
     if label_col is None:
-        return rows.select("source_file", "line", *picked)
+        return cells.where(filled).select("source_file", "line", *picked)
     down = W.partitionBy("source_file").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("label", F.last(at(label_col), ignorenulls=True).over(down))
+    rows = cells.withColumn("label", F.last(at(label_col), ignorenulls=True).over(down))
     if keep_labels:
         rows = rows.where(F.col("label").isin(list(keep_labels)))
-    return rows.select("source_file", "line", "label", *picked)
+    return rows.where(filled).select("source_file", "line", "label", *picked)
