@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -37,52 +39,38 @@ def quantiles(
         F.count("*").alias("n"),
         F.approx_percentile("__v", F.array(*[F.lit(e) for e in edges]), F.lit(_ACCURACY)).alias("__e"),
     )
-    asked = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                q("__e")[edges.index(_bracket(p)[0])].alias("lo"),
-                q("__e")[edges.index(_bracket(p)[1])].alias("hi"),
-            )
-            for i, p in enumerate(probs)
-        ]
-    )
-    brackets = F.struct(asked.alias("asked"), q("n")).alias("__s")
+    lo = [q("__s")["e"][edges.index(_bracket(p)[0])] for p in probs]
+    hi = [q("__s")["e"][edges.index(_bracket(p)[1])] for p in probs]
+    summary = F.struct(q("__e").alias("e"), q("n")).alias("__s")
     if keys:
-        placed = join_back(rows, sketch.select(*qs(keys), brackets), keys)
+        rows = join_back(rows, sketch.select(*qs(keys), summary), keys)
     else:
-        placed = rows.withColumn("__s", sketch.select(brackets).scalar())
-    placed = placed.select(*qs(keys), "__v", q("__s")["n"].alias("n"), F.explode(q("__s")["asked"]).alias("__a"))
-    side = F.when(q("__v") < q("__a")["lo"], -1).when(q("__v") > q("__a")["hi"], 1).otherwise(0)
-    placed = placed.select(*qs(keys), "__v", "n", q("__a")["i"].alias("__i"), side.alias("__side"))
-    inside = F.when(q("__side") == 0, q("__v"))
-    steps = placed.groupBy(*qs(keys), "__i", "__side", inside.alias("__in")).agg(
-        F.count("*").alias("__m"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.max("n").alias("n")
+        rows = rows.withColumn("__s", sketch.select(summary).scalar())
+    # Values inside a bracket stay apart; all others only count, per gap between brackets.
+    inside = reduce(or_, [q("__v").between(a, b) for a, b in zip(lo, hi)])
+    gap = reduce(add, [(q("__v") > b).cast("int") for b in hi])
+    steps = rows.groupBy(*qs(keys), gap.alias("__gap"), F.when(inside, q("__v")).alias("__in")).agg(
+        F.count("*").alias("__m"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.max(q("__s")["n"]).alias("n")
     )
-    w = W.partitionBy(*qs(keys), "__i").orderBy("__side", "__in").rowsBetween(W.unboundedPreceding, 0)
-    steps = steps.withColumn("__upto", F.sum("__m").over(w))
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), q("__i") + 1)
-    steps = steps.withColumn("__rank", prob * (q("n") - 1))
-    low, high = F.floor("__rank"), F.ceil("__rank")
+    w = W.partitionBy(*qs(keys)).orderBy("__min").rowsBetween(W.unboundedPreceding, 0)
+    steps = steps.withColumn("__upto", F.sum("__m").over(w)).withColumn("__before", q("__upto") - q("__m"))
 
     def at(rank):
-        before = q("__upto") - q("__m")
-        hit = (before <= rank) & (rank < q("__upto"))
-        # Of the collapsed sides only the values next to the bracket are known.
+        # Of the values that only count, the first and the last of a gap are known.
         known = (
-            F.when((q("__side") == -1) & (rank == q("__upto") - 1), q("__max"))
-            .when((q("__side") == 1) & (rank == before), q("__min"))
-            .when(q("__side") == 0, q("__in"))
+            F.when(rank == q("__before"), q("__min"))
+            .when(q("__in").isNotNull() | (rank == q("__upto") - 1), q("__max"))
             .otherwise(F.raise_error(F.lit("quantiles: bracket missed the rank")).cast("double"))
         )
-        return F.max(F.when(hit, known))
-
-    values = steps.groupBy(*qs(keys), "__i").agg(
-        at(low).alias("__a"), at(high).alias("__b"), F.max("n").alias("n"), F.max("__rank").alias("__rank")
-    )
-    values = values.withColumn("__q", q("__a") + (q("__b") - q("__a")) * (q("__rank") - F.floor("__rank")))
-    wide = [F.max(F.when(q("__i") == i, q("__q"))).alias(n) for i, n in enumerate(names)]
-    return values.groupBy(*qs(keys)).agg(F.max("n").alias("n"), *wide)
+        return F.max(F.when((q("__before") <= rank) & (rank < q("__upto")), known))
+
+    out = []
+    for p, name in zip(probs, names):
+        rank = F.lit(float(p)) * (q("n") - 1)
+        low, high = at(F.floor(rank)), at(F.ceil(rank))
+        share = F.max(rank - F.floor(rank))
+        out.append((low + (high - low) * share).alias(name))
+    return steps.groupBy(*qs(keys)).agg(F.max("n").alias("n"), *out)
 
 
 def _bracket(p: float) -> tuple[float, float]:
