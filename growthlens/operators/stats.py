@@ -16,6 +16,7 @@ from growthlens.operators.project import numeric_cols
 # Relative rank error of approx_percentile is 1 / accuracy; brackets are taken several errors wide.
 _ACCURACY = 10_000
 _MARGIN = 4.0 / _ACCURACY
+_BINS = 1000
 
 
 def quantiles(
@@ -24,9 +25,10 @@ def quantiles(
     """Exact quantiles with linear interpolation, one row per key: keys, `n` (known values), one column per prob.
 
     `percentile` keeps every distinct value of a group in one task's memory; that is used only with `bounded=True`,
-    for groups whose size has a known limit. Otherwise a mergeable sketch gives each quantile a narrow bracket, the
-    values outside the brackets are collapsed to counts before the shuffle, and the exact ranks are read off what is
-    left (a few thousandths of a group). A bracket that misses its rank raises an error rather than a wrong value.
+    for groups whose size has a known limit. Otherwise three passes with small shuffles: a mergeable sketch gives each
+    quantile a narrow bracket; counts per bin of the brackets, and of the gaps between them, give each bin its rank;
+    values inside the brackets are ranked bin by bin. No task holds a group. A bracket that misses its rank raises an
+    error rather than a wrong value.
     """
     keys = list(keys)
     v = q(col).cast("double")
@@ -39,27 +41,48 @@ def quantiles(
         F.count("*").alias("n"),
         F.approx_percentile("__v", F.array(*[F.lit(e) for e in edges]), F.lit(_ACCURACY)).alias("__e"),
     )
-    lo = [q("__s")["e"][edges.index(_bracket(p)[0])] for p in probs]
-    hi = [q("__s")["e"][edges.index(_bracket(p)[1])] for p in probs]
+    ordered = sorted(probs)
+    lo = [q("__s")["e"][edges.index(_bracket(p)[0])] for p in ordered]
+    hi = [q("__s")["e"][edges.index(_bracket(p)[1])] for p in ordered]
     summary = F.struct(q("__e").alias("e"), q("n")).alias("__s")
     if keys:
         rows = join_back(rows, sketch.select(*qs(keys), summary), keys)
     else:
         rows = rows.withColumn("__s", sketch.select(summary).scalar())
-    # Values inside a bracket stay apart; all others only count, per gap between brackets.
+    # Cells rise with the value: the gap below bracket g has bin -1, the bracket itself bins 0 and up.
     inside = reduce(or_, [q("__v").between(a, b) for a, b in zip(lo, hi)])
     gap = reduce(add, [(q("__v") > b).cast("int") for b in hi])
-    steps = rows.groupBy(*qs(keys), gap.alias("__gap"), F.when(inside, q("__v")).alias("__in")).agg(
-        F.count("*").alias("__m"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.max(q("__s")["n"]).alias("n")
+    floor, ceiling = F.get(F.array(*lo), gap), F.get(F.array(*hi), gap)
+    share = F.coalesce(F.try_divide(q("__v") - floor, ceiling - floor), F.lit(0.0))
+    bin_ = F.when(inside, F.least(F.floor(share * _BINS), F.lit(_BINS - 1))).otherwise(F.lit(-1))
+    named = [q(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    rows = rows.select("__v", q("__s")["n"].alias("n"), F.struct(*named, gap.alias("gap"), bin_.alias("bin")).alias("__cell"))
+
+    cells = rows.groupBy("__cell").agg(
+        F.count("*").alias("__m"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.max("n").alias("n")
+    )
+    of_key = W.partitionBy(*[q("__cell")[f"__k{i}"] for i in range(len(keys))])
+    earlier = of_key.orderBy(q("__cell")["gap"], q("__cell")["bin"]).rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.withColumn("__base", F.coalesce(F.sum("__m").over(earlier), F.lit(0)))
+    values = rows.where(q("__cell")["bin"] >= 0).groupBy("__cell", q("__v").alias("__in")).agg(F.count("*").alias("__c"))
+    in_cell = W.partitionBy("__cell").orderBy("__in").rowsBetween(W.unboundedPreceding, 0)
+    values = values.withColumn("__sofar", F.sum("__c").over(in_cell))
+    steps = cells.join(values, "__cell", "left").select(
+        *[q("__cell")[f"__k{i}"].alias(k) for i, k in enumerate(keys)],
+        "n",
+        "__in",
+        "__min",
+        "__max",
+        (q("__base") + F.coalesce(q("__sofar") - q("__c"), F.lit(0))).alias("__before"),
+        (q("__base") + F.coalesce(q("__sofar"), q("__m"))).alias("__upto"),
     )
-    w = W.partitionBy(*qs(keys)).orderBy("__min").rowsBetween(W.unboundedPreceding, 0)
-    steps = steps.withColumn("__upto", F.sum("__m").over(w)).withColumn("__before", q("__upto") - q("__m"))
 
     def at(rank):
-        # Of the values that only count, the first and the last of a gap are known.
+        # Between the brackets only the first and the last value of a gap are known.
         known = (
-            F.when(rank == q("__before"), q("__min"))
-            .when(q("__in").isNotNull() | (rank == q("__upto") - 1), q("__max"))
+            F.when(q("__in").isNotNull(), q("__in"))
+            .when(rank == q("__before"), q("__min"))
+            .when(rank == q("__upto") - 1, q("__max"))
             .otherwise(F.raise_error(F.lit("quantiles: bracket missed the rank")).cast("double"))
         )
         return F.max(F.when((q("__before") <= rank) & (rank < q("__upto")), known))
