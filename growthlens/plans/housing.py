@@ -12,7 +12,7 @@ from growthlens.forecasting.backtest import backtest_and_forecast
 from growthlens.functions.dates import month_start, month_year
 from growthlens.functions.numbers import half_even, plain_number, to_number
 from growthlens.functions.text import bracket_or_tail
-from growthlens.operators.calendars import calendar, densify, spine, split_quarters, upsample
+from growthlens.operators.calendars import calendar, densify, split_quarters, upsample
 from growthlens.operators.common import q, qs
 from growthlens.operators.fills import fill_median
 from growthlens.operators.joins import apply_aliases, merge_features

@@ -69,12 +69,11 @@ def run_all(spark: SparkSession, raw: str, out: str, *, trees: int = 100) -> Dat
                 raise
             log.warning("%s skipped: %s", name, e)
             return
-        except KeyError as e:
-            log.warning("%s skipped: needs %s", name, e)
-            return
         done[name] = write_table(df, f"{out}/{name}")
 
     def back(name: str) -> DataFrame:
+        if name not in done:
+            raise FileNotFoundError(f"needs {name}")
         return spark.read.parquet(done[name])
 
     save(

@@ -18,7 +18,9 @@ from growthlens.functions import (
     year_of,
     year_start,
 )
-from growthlens.operators.aggregates import rollup, supply_demand as demand_against_supply
+from growthlens.operators import stats
+from growthlens.operators.aggregates import rollup
+from growthlens.operators.aggregates import supply_demand as demand_against_supply
 from growthlens.operators.fills import fill_constant, fill_group_stat, fill_means, fill_median as fill_with_median, repair
 from growthlens.operators.project import (
     complete_rows,
@@ -32,7 +34,6 @@ from growthlens.operators.project import (
     scale,
     zeros_to_null,
 )
-from growthlens.operators import stats
 from growthlens.queries.inputs import (
     MONTHLY,
     NATION_ORDERS,

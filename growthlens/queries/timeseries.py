@@ -9,13 +9,11 @@ from growthlens.operators.series import interpolate, lags, position, rolling_mea
 from growthlens.operators.splits import min_sample, split_train_test
 from growthlens.queries.inputs import (
     MONTHLY,
-    NATION_ORDERS,
     QUARTERLY,
     SPINE,
     interpolation_sql,
     month_bounds,
     monthly,
-    nation_orders,
     quarterly,
     round_cols,
     table,
