@@ -31,7 +31,7 @@ from growthlens.llm.shared import components, kept, small_or_any
 #: N-grams counted together, and how often one must repeat among them to be taken as frequent.
 BLOCK_NGRAMS, REPEATS = 4_000_000, 4
 #: Entries of the list of frequent n-grams that every task gets: 16 bytes each. The rest counts as rare.
-MOST_FREQUENT = 1 << 18
+MOST_FREQUENT = 1 << 17
 #: Postings of a frequent n-gram that are tied in one group.
 SALT_ROWS = 512
 #: Turns of random ties inside n-grams before all remaining pairs are proposed, and the groups each n-gram is split into.
@@ -153,10 +153,10 @@ def _most_frequent(repeats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if count > room:
             break
         least, room = 2**power, room - count
-    rows = total.where(F.col("count") >= least).toPandas() if least else None
+    rows = total.where(F.col("count") >= least).toArrow() if least else None
     if rows is None:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return rows["ngram"].to_numpy(), rows["count"].to_numpy()
+    return rows.column("ngram").to_numpy(), rows.column("count").to_numpy()
 
 
 def _least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthlens.llm import jaccard
+from growthlens.llm import bpe, jaccard, langid
 from growthlens.llm.shared import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Folder of the public vocabulary files.
+TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,3 +33,24 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 @query()
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+@query()
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    return bpe.decode(encoded, path).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 5) == 0
+    model = langid.fit_on(docs.select("doc_id", "text", "lang"), ~held_out)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
