@@ -26,9 +26,17 @@ def local_session(cores: int | str = "*", *, memory: str = "8g", shuffle_partiti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; fall back to a scratch folder in local mode only."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+    """Checkpoints go to the folder the cluster names; a local session that names none gets a scratch folder."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir():
         return
-    if not spark.sparkContext.master.startswith("local"):
+    if not named and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="growthlens-checkpoint-"))
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="growthlens-checkpoint-"))
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for tables that outlive a job but not the run."""
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
