@@ -27,7 +27,7 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 #: Distinct pre-tokens that a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -221,7 +221,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
-            for part in blocks(batch, text, 6 << 20):
+            for part in blocks(batch, text, 4 << 20):
                 ids, size = encoder.encode([x or "" for x in part.column(text).to_pylist()])
                 yield _with(part, ["n_tokens", "ids"], [pa.array(size, pa.int64()), _binary(ids.astype("<u4"), size, 4).cast(pa.binary())])
 

@@ -390,3 +390,19 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85) -> Dat
     found = components(links.union(bound))
     named = member.join(found.withColumnRenamed("node", "representative"), "representative", "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "representative").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
+    """docs without the rows that another document of their component stands for: the smallest id stays.
+
+    Of rows that repeat an id one stays. Rows without an id stay.
+    """
+    found = kept(jaccard_components(docs, n=n, percent=percent))
+    gone = kept(found.where("component_id <> doc_id").select("doc_id").distinct())
+    twice = kept(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    stay = docs.join(small_or_any(gone, BROADCAST_IDS), "doc_id", "left_anti").select(docs.columns)
+    if twice.isEmpty():
+        return stay
+    twice = small_or_any(twice, BROADCAST_IDS)
+    once = stay.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stay.join(twice, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
