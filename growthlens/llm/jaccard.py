@@ -35,7 +35,9 @@ MOST_FREQUENT = 1 << 17
 #: Postings of a frequent n-gram that are tied in one group.
 SALT_ROWS = 512
 #: Turns of random ties inside n-grams before all remaining pairs are proposed, and the groups each n-gram is split into.
-MOST_TURNS, SALTS = 2, 4
+MOST_TURNS, SALTS = 1, 4
+#: How many n-grams before a shared one are compared for an earlier one.
+LOOK_BACK = 3
 #: Ids broadcast at most; beyond that the joins shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -358,11 +360,25 @@ def _shuffled_ties(open_: DataFrame, turn: int, percent: int) -> DataFrame:
 
 def _across(open_: DataFrame, percent: int) -> DataFrame:
     """All pairs that share an n-gram and are in different components: those outside an n-gram's largest component
-    against every posting of the n-gram."""
-    x = open_.where("component <> largest").select("ngram", F.col("component").alias("of_x"), F.struct("doc", "n", "place").alias("x"))
-    y = open_.select("ngram", F.col("component").alias("of_y"), "largest", F.struct("doc", "n", "place").alias("y"))
-    both = x.join(y, "ngram").where("of_x <> of_y and (of_y = largest or x.doc < y.doc)")
-    return both.where(_in_length(percent, "x.n", "y.n") & _in_length(percent, "y.n", "x.n")).select(*_pair("x", "y"))
+    against every posting of the n-gram.
+
+    A pair has to be listed at its first shared n-gram only. Where it shares one of the last few n-grams before this one
+    too, or where this one comes too late to be the first of enough, it is left to an earlier one.
+    """
+    order = Window.partitionBy("doc").orderBy("place")
+    last = [F.lag("ngram", k).over(order).alias(f"l{k}") for k in range(1, LOOK_BACK + 1)]
+    posted = open_.select("ngram", "component", "largest", "doc", "n", "place", *last)
+    of = lambda s: F.struct("doc", "n", "place", *(f"l{k}" for k in range(1, LOOK_BACK + 1))).alias(s)
+    x = posted.where("component <> largest").select("ngram", F.col("component").alias("of_x"), of("x"))
+    y = posted.select("ngram", F.col("component").alias("of_y"), "largest", of("y"))
+    shared = F.lit(False)
+    for k in range(1, LOOK_BACK + 1):
+        shared = shared | F.coalesce(F.col(f"x.l{k}").isin(*(F.col(f"y.l{j}") for j in range(1, LOOK_BACK + 1))), F.lit(False))
+    most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    enough = most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    in_length = _in_length(percent, "x.n", "y.n") & _in_length(percent, "y.n", "x.n")
+    differ = (F.col("of_x") != F.col("of_y")) & ((F.col("of_y") == F.col("largest")) | (F.col("x.doc") < F.col("y.doc")))
+    return x.join(y, "ngram").where(differ & in_length & enough & ~shared).select(*_pair("x", "y"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, frequent) -> DataFrame:

@@ -121,7 +121,7 @@ def fit(texts: list[str], languages: list[str], *, rounds: int = 15, spliced: fl
 
 
 def fit_on(
-    docs: DataFrame, trained: Column, *, per_language: int = 150, most_languages: int = 64, most_chars: int = 200_000
+    docs: DataFrame, trained: Column, *, per_language: int = 250, most_languages: int = 64, most_chars: int = 200_000
 ) -> Model:
     """A model from a sample of labelled rows: about `per_language` rows of each of the `most_languages` most frequent
     languages, chosen by a hash of the id, each of at most `most_chars` characters. Only the sample reaches the driver.

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthlens.llm import bpe, decontaminate, jaccard, langid, pii
-from growthlens.llm.shared import remainder, table
+from growthlens.llm import bpe, decontaminate, jaccard, langid, pii, quality, toxicity
+from growthlens.llm.shared import labelled_sample, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,3 +96,23 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [(F.size("base") - F.size(F.array_remove(orders, k))).cast("long").alias(f"n_{x}") for k, x in enumerate(pii.KINDS)]
     base = F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", *counts, base, pii.listed(F.col("spans")).alias("spans"))
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 4) == 2
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out, 20_000)
+    found = toxicity.detect(docs, toxicity.train(sample))
+    predicted = (F.col("score") >= 0.3).cast("int")
+    return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query()
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 5) == 0
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", ~held_out, 4_000)
+    found = quality.score(docs, quality.train(sample))
+    predicted = (F.col("score") >= 0.3).cast("int")
+    return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))

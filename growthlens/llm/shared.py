@@ -39,22 +39,53 @@ def remainder(doc_id, divisor: int):
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b); nodes without links are not listed.
 
-    Every round hooks each node to the smallest label around it and then follows that label once, so a path of n nodes
-    takes about log n rounds. Links whose ends agree are dropped as they appear.
+    Every round takes the smallest label among a node and its neighbours and then follows that label once, so labels
+    travel by doubling steps. Joins are shuffled: the links grow with the data.
     """
     ends = links.where("a <> b").select("a", "b")
-    both = kept(ends.union(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")))
+    back = ends.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    selves = ends.select("a").union(back.select("a")).select("a", F.col("a").alias("b"))
+    both = kept(ends.union(back).union(selves).distinct())
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     while True:
         of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("near"))
-        least = both.join(of_b, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        hooked = labels.join(least, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("now"))
-        # the old root learns the better label too, so whole trees move at once
-        roots = hooked.where("now < was").groupBy(F.col("was").alias("node")).agg(F.min("now").alias("root"))
-        better = hooked.join(roots, "node", "left").select("node", "was", F.least("now", "root").alias("now"))
-        jump = better.select(F.col("node").alias("now"), F.col("now").alias("next"))
-        following = kept(better.join(jump, "now", "left").select("node", "was", F.least("now", "next").alias("component")))
-        changed = not following.where("component <> was").isEmpty()
-        labels = following.select("node", "component")
-        if not changed:
-            return labels
+        near = both.join(of_b.hint("merge"), "b").groupBy(F.col("a").alias("node"))
+        now = kept(near.agg(F.min("near").alias("component"), F.max(F.when(F.col("a") == F.col("b"), F.col("near"))).alias("was")))
+        if now.where("component <> was").isEmpty():
+            return now.select("node", "component")
+        follow = now.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        labels = now.join(follow.hint("merge"), "component").select("node", F.col("next").alias("component"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, trained, most_rows: int) -> DataFrame:
+    """(doc_id, text, label int): about `most_rows` labelled rows that may be learned from, chosen by a hash of the id.
+
+    Only ids and labels of the sample are gathered and broadcast; texts are filtered where they are read. Null texts,
+    null labels and ids with contradicting labels are left out.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & trained)
+    total = known.count()
+    chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
+    some = known.where(chance < min(1.0, most_rows / max(total, 1)))
+    some = some.groupBy("doc_id").agg(F.min(label).cast("int").alias("label"), F.max(label).alias("other")).where("label = other").drop("other")
+    texts = docs.where("text is not null").select("doc_id", "text")
+    return texts.join(small_or_any(kept(some), 4 * most_rows), "doc_id")
+
+
+def logistic(x, y, *, rounds: int = 60, ridge: float = 1e-2):
+    """Weights, the intercept last, of a ridge logistic regression by Newton steps; numpy arrays of bounded samples."""
+    import numpy as np
+
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    if not len(y) or y.min() == y.max():
+        w[-1] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
+        return w
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hessian = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(hessian, x.T @ (y - p) - ridge * w)
+        w += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
