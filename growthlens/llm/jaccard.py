@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from growthlens.llm import tokens as T
-from growthlens.llm.shared import components, kept, small_or_any
+from growthlens.llm.shared import components, kept, most_frequent, small_or_any
 
 #: N-grams counted together, and how often one must repeat among them to be taken as frequent.
 BLOCK_NGRAMS, REPEATS = 4_000_000, 4
@@ -39,7 +39,7 @@ MOST_TURNS, SALTS = 1, 4
 #: How many n-grams before a shared one are compared for an earlier one.
 LOOK_BACK = 3
 #: Ids broadcast at most; beyond that the joins shuffle.
-BROADCAST_IDS = 1 << 20
+BROADCAST_IDS = 200_000
 
 _ID_BITS = np.uint64(59)
 _ID_MASK = np.uint64((1 << 59) - 1)
@@ -145,27 +145,6 @@ def _profile(n: int):
     return run, "doc_id long, text_hash long, n long, set_a long, set_b long, ngram long, count long"
 
 
-def _most_frequent(repeats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent n-grams, at most MOST_FREQUENT of them: those whose count exceeds the least limit that leaves so few."""
-    total = kept(repeats.groupBy("ngram").agg(F.sum("count").alias("count")))
-    # how many n-grams have each power-of-two class of count: at most 64 rows
-    classes = total.groupBy(F.floor(F.log2("count")).alias("power")).count().orderBy(F.desc("power")).collect()
-    least, room = None, MOST_FREQUENT
-    for power, count in classes:
-        if count > room:
-            break
-        least, room = 2**power, room - count
-    rows = total.where(F.col("count") >= least).toArrow() if least else None
-    if rows is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return rows.column("ngram").to_numpy(), rows.column("count").to_numpy()
-
-
-def _least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """The least intersection with which sets of n and m reach the similarity: ceil(p (n + m) / (100 + p))."""
-    return -(-percent * (n + m) // (100 + percent))
-
-
 def _prefixes(n: int, percent: int, frequent):
     """Rows (ngram, salt, doc, n, place) of the prefix n-grams of every text."""
 
@@ -271,7 +250,8 @@ def ngram_links(docs: DataFrame, *, n: int = 4, percent: int = 85) -> tuple[Data
     run, schema = _profile(n)
     seen = kept(given.mapInArrow(run, schema))
     rows = seen.where("n is not null").select("doc_id", "text_hash", "n", "set_a", "set_b")
-    frequent = spark.sparkContext.broadcast(Frequent(*_most_frequent(seen.where("ngram is not null").select("ngram", "count"))))
+    repeated = seen.where("ngram is not null").groupBy(F.col("ngram").alias("key")).agg(F.sum("count").alias("count"))
+    frequent = spark.sparkContext.broadcast(Frequent(*most_frequent(repeated, MOST_FREQUENT)))
 
     same = ["n", "set_a", "set_b"]
     first = rows.where("n > 0 and doc_id is not null").groupBy(same).agg(F.min("doc_id").alias("representative"))

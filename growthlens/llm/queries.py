@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthlens.llm import bpe, decontaminate, jaccard, langid, pii, quality, toxicity
+from growthlens.llm import bpe, decontaminate, jaccard, langid, lm, pii, quality, topk, toxicity
 from growthlens.llm.shared import labelled_sample, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,29 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.score(docs, quality.train(sample))
     predicted = (F.col("score") >= 0.3).cast("int")
     return found.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query(
+    """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
+"""
+)
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
+@query()
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 7) == 2
+    found = lm.scores(docs, ~held_out, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthlens.session import ensure_checkpoint_dir
+from growthlens.session import checkpoint_dir
 
 SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
@@ -21,9 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The frame, computed once and stored in the folder that all executors share."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The frame, computed once and written as a table into the folder that all executors share.
+
+    Tables lie below the application's id; they outlive lost executors, and `clear_kept` removes them.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/growthlens-{spark.sparkContext.applicationId}"
+
+
+def clear_kept(spark: SparkSession) -> None:
+    """Remove what this application has kept, once no frame that reads it is in use."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_or_any(df: DataFrame, most_rows: int) -> DataFrame:
@@ -36,6 +53,26 @@ def remainder(doc_id, divisor: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % divisor
 
 
+def most_frequent(counts: DataFrame, most: int):
+    """Numpy arrays of the keys (long) with the highest counts and their counts, at most `most` of them.
+
+    The limit is the least power of two that leaves so few, so the number that reaches the driver is bounded.
+    """
+    import numpy as np
+
+    counts = kept(counts.select("key", "count"))
+    classes = counts.groupBy(F.floor(F.log2("count")).alias("power")).count().orderBy(F.desc("power")).collect()
+    least, room = None, most
+    for power, n in classes:
+        if n > room:
+            break
+        least, room = 2**power, room - n
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows = counts.where(F.col("count") >= least).toArrow()
+    return rows.column("key").to_numpy(), rows.column("count").to_numpy()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b); nodes without links are not listed.
 
