@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthlens.llm import bpe, decontaminate, jaccard, langid, lm, pii, quality, topk, toxicity
+from growthlens.llm import bpe, decontaminate, jaccard, langid, licenses, lm, pii, quality, topk, toxicity
 from growthlens.llm.shared import labelled_sample, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,3 +142,11 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 7) == 2
     found = lm.scores(docs, ~held_out, f"{TOKENIZERS}/byte_bpe_50k.json")
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query()
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: the source is the top folder, then the language; ids are dealt to sub-folders by thousands."""
+    folder = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", folder, F.concat("doc_id", F.lit(".txt"))).alias("path"))
+    return licenses.license_scan(docs).select("doc_id", "path", "license", "similarity", "origin")
