@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
@@ -37,10 +37,11 @@ def backtest_and_forecast(
     last_n: int | None = None,
     min_rows: int = 50,
     trees: int = 100,
+    tree_options: Mapping[str, Any] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(metrics, forecast): metrics per key and model, and the forecast of each key's best model.
 
-    The feature panel is written once to the checkpoint folder: every candidate reads it, and training is iterative.
+    `tree_options` go to the tree models (depth, seed, key_feature). The feature panel is written once to the checkpoint folder: every candidate reads it, and training is iterative.
     """
     keys = list(keys)
     ensure_checkpoint_dir(df.sparkSession)
@@ -50,6 +51,7 @@ def backtest_and_forecast(
     ).checkpoint()
     if split.isEmpty():
         raise NotEnoughData(f"no series has {min_rows} rows")
+    grown = {"trees": trees, **(tree_options or {})}
     common = {"keys": keys, "time": time, "target": target}
 
     def test_rows(name: str) -> DataFrame:
@@ -58,7 +60,7 @@ def backtest_and_forecast(
         elif name == "additive":
             out = fit_additive(split, regressors=features, **common)
         else:
-            out = fit_trees(split, features=features, kind=name, trees=trees, **common)
+            out = fit_trees(split, features=features, kind=name, **grown, **common)
         return out.withColumn("model", F.lit(name))
 
     predictions = reduce(DataFrame.unionByName, [test_rows(c) for c in candidates])
@@ -76,7 +78,7 @@ def backtest_and_forecast(
             out = forecast_additive(winners, regressors=features, **common, **horizon)
         else:
             # The pooled model learns from every series, its forecast is kept for the winners.
-            out = forecast_trees(history, features=features, kind=name, trees=trees, **common, **horizon)
+            out = forecast_trees(history, features=features, kind=name, **grown, **common, **horizon)
             out = out.join(chosen, on=keys, how="left_semi")
         return out.withColumn("model", F.lit(name))
 

@@ -6,18 +6,15 @@ from collections.abc import Sequence
 from typing import Any
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from growthlens.operators.calendars import carry_last
-from growthlens.operators.common import q, qs
+from growthlens.operators.common import join_back, q, qs
 from growthlens.operators.project import complete_rows
 
-# A region is a categorical feature only up to this many regions; beyond it the lag features carry the level.
-MAX_CATEGORIES = 1000
-
 
 def fit_trees(
     df: DataFrame,
@@ -35,24 +32,20 @@ def fit_trees(
 ) -> DataFrame:
     """Fit on `train` rows, predict the `test` rows: keys, time, target, predicted.
 
-    One pooled model over all series, trained on the cluster (an action); the series key is a categorical feature.
+    One pooled model over all series, trained on the cluster (an action). With `key_feature` a series is known to it by
+    the mean, deviation and slope of its training target, whatever the number of series.
     Rows with a missing feature or target take no part in the fit, rows with a missing feature get no prediction.
     """
     rows = df.select(*qs([*keys, time, part]), q(target).cast("double").alias("__y"), *_features(features))
     names = [f"__f{i}" for i in range(len(features))]
     rows = complete_rows(rows, names)
-    stages, bins = [], 32
+    train = (q(part) == "train") & q("__y").isNotNull()
     if key_feature:
-        rows = rows.withColumn("__key", F.concat_ws("\u0001", *qs(keys)))
-        indexer = StringIndexer(inputCol="__key", outputCol="__group", handleInvalid="keep").fit(rows.select("__key"))
-        if len(indexer.labels) > MAX_CATEGORIES:
-            raise ValueError(f"{len(indexer.labels)} series: use key_feature=False")
-        bins = max(bins, len(indexer.labels) + 1)
-        stages, names = [indexer], [*names, "__group"]
-    stages.append(VectorAssembler(inputCols=names, outputCol="__features", handleInvalid="keep"))
+        rows, extra = _described(rows, keys, time, train)
+        names = [*names, *extra]
+    stages = [VectorAssembler(inputCols=names, outputCol="__features", handleInvalid="keep")]
     common = {
-        "featuresCol": "__features", "labelCol": "__y", "predictionCol": "predicted", "seed": seed, "maxDepth": depth,
-        "maxBins": bins,
+        "featuresCol": "__features", "labelCol": "__y", "predictionCol": "predicted", "seed": seed, "maxDepth": depth
     }
     if kind == "rf":
         stages.append(RandomForestRegressor(numTrees=trees, **common))
@@ -60,7 +53,7 @@ def fit_trees(
         stages.append(GBTRegressor(maxIter=trees, stepSize=0.3, **common))
     else:
         raise ValueError(f"unknown tree model {kind!r}")
-    model = Pipeline(stages=stages).fit(rows.where((q(part) == "train") & q("__y").isNotNull()))
+    model = Pipeline(stages=stages).fit(rows.where(train))
     predicted = model.transform(rows.where(q(part) == "test"))
     return predicted.select(*qs([*keys, time]), q("__y").alias(target), "predicted")
 
@@ -86,5 +79,15 @@ def forecast_trees(
     return out.drop(target)
 
 
+def _described(rows, keys, time, train):
+    """Rows with the mean, deviation and slope of each series' training target; 0 where a series has none."""
+    kind = dict(rows.dtypes)[time]
+    step = F.unix_date(time) if kind == "date" else q(time).cast("timestamp").cast("double") if "timestamp" in kind else q(time)
+    y = F.when(train, q("__y"))
+    stats = {"__mean": F.avg(y), "__deviation": F.stddev_pop(y), "__slope": F.regr_slope(y, step.cast("double"))}
+    series = rows.groupBy(*qs(keys)).agg(*[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in stats.items()])
+    return join_back(rows, series, keys), list(stats)
+
+
 def _features(features):
     return [q(f).cast("double").alias(f"__f{i}") for i, f in enumerate(features)]

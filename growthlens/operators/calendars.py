@@ -62,6 +62,15 @@ def _explode_calendar(base, time, unit, start, end, known):
     return base.withColumn(time, F.explode(_steps(q("__lo"), q("__hi"), unit))).drop("__lo", "__hi", "__b")
 
 
+def _on_grid(lo: Column, c: Column, unit: str) -> Column:
+    """Whether a value is a whole number of steps from the lower bound."""
+    if unit in ("number", "day"):
+        return F.lit(True) if unit == "day" else (c - lo) % 1 == 0
+    months = {"month": 1, "quarter": 3, "year": 12}[unit]
+    n = (F.year(c) - F.year(lo)) * 12 + F.month(c) - F.month(lo)
+    return (n % months == 0) & (F.add_months(lo, n) == c)
+
+
 def densify(
     df: DataFrame, *, time: str, keys: Sequence[str], unit: str = "month", start: Any = None, end: Any = None
 ) -> DataFrame:
@@ -69,7 +78,8 @@ def densify(
 
     Each row emits itself and the steps up to its successor; the first and last also those up to the frame's bounds.
     That needs no join with a spine and leaves rows hashed by `keys`, so following windows on the same keys add no
-    shuffle. The panel must hold a (key, step) at most once, and rows outside start..end are dropped.
+    shuffle. Rows outside start..end are dropped. A row that is not on the calendar of the lower bound, or a (key, step)
+    that occurs twice, raises an error that names key and step.
     """
     known = bounds(df, time) if start is None or end is None else None
     if known is not None:
@@ -82,7 +92,11 @@ def densify(
     first = F.lag(q(time)).over(w).isNull()
     follower = F.lead(q(time)).over(w)
     df = df.withColumns({"__first": first, "__follower": follower})
+    named = F.concat_ws(", ", *[F.coalesce(q(c).cast("string"), F.lit("null")) for c in [*keys, time]])
+    off = F.raise_error(F.concat(F.lit("not on the calendar: "), named))
+    twice = F.raise_error(F.concat(F.lit("occurs twice: "), named))
     begin = F.when(q("__first"), q("__lo")).otherwise(q(time))
+    begin = F.when(~_on_grid(q("__lo"), q(time), unit), off).when(q("__follower") == q(time), twice).otherwise(begin)
     stop = F.coalesce(_next(q("__follower"), unit, -1), q("__hi"))
     values = [c for c in df.columns if c not in keys and c != time and not c.startswith("__")]
     df = df.withColumn("__t", F.explode(_steps(begin, stop, unit)))

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from growthlens.functions.text import mapped
@@ -132,8 +133,7 @@ def patch_totals(
 
 
 def fill_from_row(df: DataFrame, *, keys: Sequence[str], flag, cols: Sequence[str]) -> DataFrame:
-    """Fill missing values from the flagged row of the same key."""
+    """Fill missing values from the flagged row of the same key, in one pass: a key has a handful of categories."""
+    group = W.partitionBy(*qs(keys))
     marked = F.coalesce(flag, F.lit(False))
-    ref = df.where(marked).groupBy(*qs(keys)).agg(*[F.max(q(c)).alias(f"__{c}") for c in cols])
-    filled = join_back(df, ref, keys).withColumns({c: F.coalesce(q(c), q(f"__{c}")) for c in cols})
-    return filled.select(*qs(df.columns))
+    return df.withColumns({c: F.coalesce(q(c), F.max(F.when(marked, q(c))).over(group)) for c in cols}).select(*qs(df.columns))

@@ -25,7 +25,7 @@ def quantiles(
     """Exact quantiles with linear interpolation, one row per key: keys, `n` (known values), one column per prob.
 
     `percentile` keeps every distinct value of a group in one task's memory; that is used only with `bounded=True`,
-    for groups whose size has a known limit. Otherwise three passes with small shuffles: a mergeable sketch gives each
+    for groups whose size has a known limit. A key without a known value has no row either way. Otherwise three passes with small shuffles: a mergeable sketch gives each
     quantile a narrow bracket; counts per bin of the brackets, and of the gaps between them, give each bin its rank;
     values inside the brackets are ranked bin by bin. No task holds a group. A bracket that misses its rank raises an
     error rather than a wrong value.
@@ -34,7 +34,8 @@ def quantiles(
     v = q(col).cast("double")
     if bounded:
         out = [F.percentile(v, F.lit(float(p))).alias(n) for p, n in zip(probs, names)]
-        return df.groupBy(*qs(keys)).agg(F.count(v).alias("n"), *out)
+        found = df.groupBy(*qs(keys)).agg(F.count(v).alias("n"), *out)
+        return found.where("n > 0") if keys else found
     rows = df.select(*qs(keys), v.alias("__v")).where(q("__v").isNotNull())
     edges = sorted({e for p in probs for e in _bracket(p)})
     sketch = rows.groupBy(*qs(keys)).agg(

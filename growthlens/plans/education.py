@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +87,16 @@ def participation_rates(raw: DataFrame, *, ordinal: Sequence[str], dimension: st
     return category_table(rows, dimension, INSTITUTIONS, ordinal=ordinal)
 
 
+def missing_regions(tables: Mapping[str, DataFrame], regions: Sequence[str] = REGIONS) -> DataFrame:
+    """(table, GEO) of every region that has no row in a table: its file may hold another region's rows."""
+    if not tables:
+        raise FileNotFoundError("no education table was written")
+    wanted = [(n, g) for n in tables for g in regions]
+    seen = reduce(DataFrame.union, [t.select(F.lit(n).alias("table"), "GEO").distinct() for n, t in tables.items()])
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(wanted, "table string, GEO string").join(seen, ["table", "GEO"], "left_anti").orderBy("table", "GEO")
+
+
 def education_features(tables: Sequence[DataFrame]) -> DataFrame:
     """Outer merge of yearly tables on 1 January of the year and region."""
     dated = [t.withColumn("REF_DATE", year_start("REF_DATE")).dropna(subset=["REF_DATE"]) for t in tables]

@@ -24,6 +24,7 @@ from growthlens.sources.files import plain_path, read_tables, with_name_part
 from growthlens.sources.sheets import read_sheet
 
 LAST_YEAR = 2036
+# Published column names, growth rates and tenures.
 STARTS = ["Housing completions", "Housing starts", "Housing under construction"]
 PRICE_INDEX = {
     "House only": "House only NHPI",
@@ -123,12 +124,12 @@ def housing_features(households: DataFrame, starts: DataFrame, prices: DataFrame
 
 
 def housing_types(spark: SparkSession, folder: str) -> DataFrame:
-    """All tenure tables of a folder, region taken from the file name, ordered by year and region."""
+    """All tenure tables of a folder, region taken from the file name."""
     rows = read_tables(spark, folder, with_source=True)
     rows = rows.withColumn("Geo", bracket_or_tail(plain_path(q("source_file")))).drop("source_file")
     counts = [c for c in rows.columns if c not in ("Year", "Geo")]
     typed = rows.withColumns({c: plain_number(c) for c in counts} | {"Year": to_number("Year").cast("int")})
-    return typed.dropna(subset=["Year"]).orderBy("Year", "Geo")
+    return typed.dropna(subset=["Year"])
 
 
 def future_housing_types(types: DataFrame, first: int = 2025, end: int = 2036) -> DataFrame:

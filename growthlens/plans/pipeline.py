@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from growthlens.forecasting.backtest import NotEnoughData
+from growthlens.operators.stats import null_report
 from growthlens.plans import education, housing, population
 from growthlens.sources.files import ORDINAL, read_tables
 from growthlens.sources.sinks import run_report, write_table
@@ -47,16 +48,20 @@ OUTPUTS = [
     "housing_types",
     "future_housing_types",
     *EDUCATION,
+    "missing_regions",
     "education_features",
+    "missing_values",
     "education_enhanced",
     "education_forecast",
 ]
 
 
-def run_all(spark: SparkSession, raw: str, out: str, *, trees: int = 100) -> DataFrame:
+def run_all(spark: SparkSession, raw: str, out: str, *, trees: int = 100, fmt: str = "parquet") -> DataFrame:
     """Run every branch whose inputs exist and report what was written. A branch without input is skipped; any other
-    failure is raised. Each table is written once and later steps read it from there."""
+    failure is raised. Each table is written once and later steps read it from there. With fmt="csv" every table is also
+    published as CSV with text dates, below OUT_DIR/csv."""
     done: dict[str, str] = {}
+    written: dict[str, tuple[str, int]] = {}
 
     def ordered(name: str) -> DataFrame:
         return read_tables(spark, f"{raw}/{name}", with_ordinal=True)
@@ -69,7 +74,10 @@ def run_all(spark: SparkSession, raw: str, out: str, *, trees: int = 100) -> Dat
                 raise
             log.warning("%s skipped: %s", name, e)
             return
-        done[name] = write_table(df, f"{out}/{name}")
+        done[name] = f"{out}/{name}"
+        written[name] = done[name], write_table(df, done[name])
+        if fmt == "csv":
+            write_table(spark.read.parquet(done[name]), f"{out}/csv/{name}", fmt=fmt)
 
     def back(name: str) -> DataFrame:
         if name not in done:
@@ -97,15 +105,17 @@ def run_all(spark: SparkSession, raw: str, out: str, *, trees: int = 100) -> Dat
             save("housing_forecast", lambda: ahead)
         except NotEnoughData as e:
             log.warning("housing forecast skipped: %s", e)
-    save("housing_types", lambda: housing.housing_types(spark, f"{raw}/{TYPES}"))
+    save("housing_types", lambda: housing.housing_types(spark, f"{raw}/{TYPES}").orderBy("Year", "Geo"))
     save("future_housing_types", lambda: housing.future_housing_types(back("housing_types")))
 
     for name, path in EDUCATION.items():
         save(name, lambda name=name, path=path: getattr(education, name)(ordered(path), ordinal=ORDINAL))
+    save("missing_regions", lambda: education.missing_regions({n: back(n) for n in EDUCATION if n in done}))
     save("education_features", lambda: education.education_features([back(n) for n in EDUCATION]))
+    save("missing_values", lambda: null_report(back("education_features")))
     save("education_enhanced", lambda: education.enhance(back("education_features")))
     save("education_forecast", lambda: education.education_forecast(back("education_enhanced")))
-    return run_report(spark, {name: f"{out}/{name}" for name in OUTPUTS})
+    return run_report(spark, OUTPUTS, written)
 
 
 if __name__ == "__main__":

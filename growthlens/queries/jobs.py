@@ -325,4 +325,4 @@ def compare_models_job(spark, sf_dir):
     total = monthly(spark, sf_dir).groupBy(F.col("month").alias("REF_DATE")).agg(
         F.lit("Canada").alias("GEO"), F.sum("n_orders").alias("Number_of_Households")
     )
-    return round_cols(exploration.compare_models(total, trees=10), ["mae"], 6)
+    return round_cols(exploration.compare_models(total), ["mae"], 6)

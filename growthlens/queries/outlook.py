@@ -231,21 +231,19 @@ def _features(spark, sf_dir):
     return complete_rows(calendar(out, "ref_date"))
 
 
-def _trees(spark, sf_dir, kind, trees):
+def _trees(spark, sf_dir, kind):
     split = split_train_test(_features(spark, sf_dir), keys=["nation"], order="ref_date", min_rows=50)
-    return fit_trees(
-        split, keys=["nation"], time="ref_date", target="n_orders", features=FEATURES, kind=kind, trees=trees, depth=5
-    )
+    return fit_trees(split, keys=["nation"], time="ref_date", target="n_orders", features=FEATURES, kind=kind)
 
 
 @query()
 def rf_forecast(spark, sf_dir):
-    return _trees(spark, sf_dir, "rf", 20)
+    return _trees(spark, sf_dir, "rf")
 
 
 @query()
 def gbt_forecast(spark, sf_dir):
-    return _trees(spark, sf_dir, "gbt", 10)
+    return _trees(spark, sf_dir, "gbt")
 
 
 @query()
@@ -260,6 +258,6 @@ def select_and_forecast(spark, sf_dir):
     """Backtest three candidates, choose per nation, refit, forecast 144 months."""
     _, forecast = backtest_and_forecast(
         _features(spark, sf_dir), keys=["nation"], time="ref_date", target="n_orders", features=FEATURES,
-        candidates=("trend", "additive", "rf"), start="2024-01-01", end="2035-12-01", trees=10,
+        start="2024-01-01", end="2035-12-01",
     )
     return round_cols(forecast, ["predicted"], 4)

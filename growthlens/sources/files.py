@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,13 +20,15 @@ def read_table(
     *,
     with_source: bool = False,
     with_ordinal: bool = False,
-    on_bad: str = "skip",
+    on_bad: str = "fail",
+    observed: Observation | None = None,
 ) -> DataFrame:
     """CSV files that share one header.
 
     The header is checked against the schema, so a file with other columns is an error and never misread. Rows that do
-    not fit the schema are left out (`skip`; `corrupt_rows` counts them per file) or fail the job (`fail`); unreadable
-    files follow the same choice. `with_source` adds `source_file`; `with_ordinal` adds the columns in ORDINAL, which
+    not fit the schema fail the job (`fail`) or are left out (`skip`); then `observed` must be given, and gets `rows` and
+    `bad_rows` from the same scan once it has run (twice as many where a global sort reads it twice). `corrupt_rows` counts per file. Unreadable files always fail.
+    `with_source` adds `source_file`; `with_ordinal` adds the columns in ORDINAL, which
     order rows as they stand in the input.
     """
     extra = _provenance(with_source, with_ordinal)
@@ -36,17 +38,22 @@ def read_table(
         return df.select(*_names(fields), *extra)
     if on_bad != "skip":
         raise ValueError(f"unknown choice {on_bad!r}")
+    if observed is None:
+        raise ValueError("on_bad='skip' needs an Observation for the number of rows left out")
     df, good = _scan_text(spark, path, schema)
     typed = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in _fields(schema)]
     names = [f.name for f in _fields(schema)]
-    kept = df.select("*", *extra).where(good)
+    marked = df.select("*", *extra, good.alias("__good"))
+    marked = marked.observe(observed, F.count("*").alias("rows"), F.count_if(~F.col("__good")).alias("bad_rows"))
+    kept = marked.where("__good").drop("__good")
     return kept.select(*typed, *[c for c in kept.columns if c not in names and c != _CORRUPT])
 
 
 def read_tables(spark: SparkSession, path: str, *, with_source: bool = False, with_ordinal: bool = False) -> DataFrame:
     """All CSV files of a folder stacked by column name, whatever the columns of each file; every column is text.
 
-    One scan of the first block of each file finds the headers (an action); then one scan per distinct header.
+    One scan of the lines (an action) finds the distinct headers; then one scan per distinct header. Both read every
+    file in full, and the file names of a header are listed on the driver: meant for folders of published tables.
     """
     lines = spark.read.text(path).select(
         plain_path(F.col("_metadata.file_path")).alias("file"),
@@ -100,7 +107,7 @@ def _scan_text(spark, path, schema):
     """
     fields = _fields(schema)
     text = T.StructType([*[T.StructField(f.name, T.StringType()) for f in fields], T.StructField(_CORRUPT, T.StringType())])
-    reader = spark.read.schema(text).options(ignoreCorruptFiles=True, columnNameOfCorruptRecord=_CORRUPT)
+    reader = spark.read.schema(text).options(columnNameOfCorruptRecord=_CORRUPT)
     df = reader.csv(path, header=True, enforceSchema=False, mode="PERMISSIVE", quote='"', escape='"')
     good = F.col(_CORRUPT).isNull()
     for f in fields:

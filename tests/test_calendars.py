@@ -105,3 +105,10 @@ def test_attach_year_values(panel, frame):
     yearly = frame([("a", 2020, 10.0)], "g string, y int, total double")
     rows = {(r.g, r.t.month): r.total for r in attach_year_values(panel, yearly, keys=["g"], time="t", year="y").collect()}
     assert rows == {("a", 2): 10.0, ("a", 5): 10.0, ("b", 1): None, ("b", 6): None}
+
+
+@pytest.mark.parametrize("days, match", [(["2020-01-01", "2020-02-15"], "not on the calendar: a, 2020-02-15"), (["2020-01-01"] * 2, "occurs twice: a")])
+def test_densify_names_steps_it_can_not_place(frame, days, match):
+    rows = frame([("a", dt.date.fromisoformat(d), 1.0) for d in days], "k string, t date, v double")
+    with pytest.raises(Exception, match=match):
+        densify(rows, time="t", keys=["k"]).collect()

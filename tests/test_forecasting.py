@@ -170,3 +170,13 @@ def test_what_if(flows):
 
 def test_dates_are_dates(panel):
     assert isinstance(forecast_trend(panel, **COMMON, start="2030-01-01", end="2030-01-01").first()["t"], dt.date)
+
+
+def test_trees_take_any_number_of_series(spark):
+    rows = spark.range(1500 * 4).selectExpr(
+        "id div 4 AS g", "cast(id % 4 AS int) AS t", "cast(id div 4 AS double) AS y", "cast(id % 4 AS double) AS x",
+        "if(id % 4 < 3, 'train', 'test') AS part",
+    )
+    out = fit_trees(rows, keys=["g"], time="t", target="y", features=["x"], trees=3, depth=6)
+    assert out.count() == 1500
+    assert out.selectExpr("avg(abs(predicted - y)) AS e").first()["e"] < 300  # 375 if no series were known

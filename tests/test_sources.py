@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import Observation
+
 from growthlens.sources import corrupt_rows, read_sheet, read_table, read_tables, run_report, with_name_part, write_table
 from growthlens.sources.files import ORDINAL
 
@@ -21,12 +23,17 @@ def test_read_table_with_bom_quotes_and_source(spark, tmp_path):
 def test_bad_rows_are_skipped_counted_or_fatal(spark, tmp_path):
     path = put(tmp_path / "in", "x.csv", "k,v\n1,2.0\n2,--\n3,4.0\n")
     schema = "k int, v double"
-    assert [r.k for r in read_table(spark, path, schema).orderBy("k").collect()] == [1, 3]
-    assert [r.k for r in read_table(spark, path, schema).select("k").orderBy("k").collect()] == [1, 3]
+    seen = Observation()
+    assert sorted(r.k for r in read_table(spark, path, schema, on_bad="skip", observed=seen).collect()) == [1, 3]
+    assert seen.get == {"rows": 3, "bad_rows": 1}
+    some = read_table(spark, path, schema, on_bad="skip", observed=Observation()).select("k")
+    assert [r.k for r in some.orderBy("k").collect()] == [1, 3]
+    with pytest.raises(ValueError, match="Observation"):
+        read_table(spark, path, schema, on_bad="skip")
     report = corrupt_rows(spark, path, schema).first()
     assert (report["rows"], report["bad_rows"]) == (3, 1)
     with pytest.raises(Exception, match="FAILED_READ_FILE|MALFORMED"):
-        read_table(spark, path, schema, on_bad="fail").collect()
+        read_table(spark, path, schema).collect()
     with pytest.raises(ValueError):
         read_table(spark, path, schema, on_bad="guess")
 
@@ -79,5 +86,5 @@ def test_write_and_report(spark, tmp_path, frame):
     assert spark.read.csv(c, header=True).columns == ["k", "a name"]
     write_table(df, str(tmp_path / "by"), partition_by=["k"])
     assert (tmp_path / "by" / "k=1").exists()
-    report = {r.output: (r.rows, r.status) for r in run_report(spark, {"p": p, "none": str(tmp_path / "no")}).collect()}
+    report = {r.output: (r.rows, r.status) for r in run_report(spark, ["p", "none"], {"p": (p, write_table(df, p))}).collect()}
     assert report == {"p": (2, "generated"), "none": (None, "not generated")}
