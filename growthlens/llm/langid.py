@@ -36,16 +36,16 @@ def word_features(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple
     flat[np.repeat(edge + 1, size) + inner] = data[np.repeat(begin, size) + inner]
     word = np.repeat(np.arange(len(size)), bordered)
     left = np.repeat(edge + bordered, bordered) - np.arange(len(flat))  # bytes from here to the word's end
-    ids, owner = [tokens.span_hashes(data, begin, end)], [np.arange(len(size))]
+    ids, owner = [tokens.span_hashes(data, begin, end)], [np.arange(len(size), dtype=np.int32)]
     gram = np.zeros(len(flat), dtype=np.uint64)
     for n in range(1, 5):
         gram = gram * np.uint64(257) + np.append(flat[n - 1 :], np.zeros(n - 1, np.uint64))
         fits = left >= n
         ids.append(tokens.mix(gram[fits] + np.uint64(n << 40)))
-        owner.append(word[fits])
+        owner.append(word[fits].astype(np.int32))
     order = np.argsort(np.concatenate(owner), kind="stable")
     ids = np.concatenate(ids)[order]
-    return (ids >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.bincount(np.concatenate(owner), minlength=len(size))
+    return (ids >> np.uint64(64 - TABLE_BITS)).astype(np.int32), np.bincount(np.concatenate(owner), minlength=len(size))
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -60,6 +60,14 @@ def _words(column: pa.Array) -> tuple[np.ndarray, ...]:
     return data, begin[first], end[first], number, row, np.diff(np.append(change, len(begin)))
 
 
+def _sums(weights: np.ndarray, ids: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each word's features, label by label, so that only one column is spread out at a time."""
+    out = np.zeros((len(edge), weights.shape[1]))
+    for k in range(weights.shape[1] if len(edge) else 0):
+        out[:, k] = np.add.reduceat(weights[:, k][ids], edge)
+    return out
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -69,8 +77,7 @@ class Model:
 
     def word_scores(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         ids, size = word_features(data, begin, end)
-        out = np.add.reduceat(self.weights[ids], np.cumsum(size) - size) if len(size) else np.zeros((0, len(self.languages)))
-        return out / np.sqrt(size)[:, None]
+        return _sums(self.weights, ids, np.cumsum(size) - size) / np.sqrt(size)[:, None]
 
     def label(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row and marginals of every word, and the chain lengths."""
@@ -109,11 +116,12 @@ def fit(texts: list[str], languages: list[str], *, rounds: int = 15, spliced: fl
     firsts = (np.cumsum(lengths) - lengths).astype(np.int64)
     adam = Adam(model.weights, model.transition, model.start, rate=0.15)
     for _ in range(rounds):
-        score = np.add.reduceat(model.weights[ids], edge) / root
+        score = _sums(model.weights, ids, edge) / root
         found, pairs = marginals(score[number], lengths, model.transition, model.start)
         got = np.stack([np.bincount(number, weights=found[:, k], minlength=len(size)) for k in range(labels)], axis=1)
-        rest = np.repeat((seen - got) / root, size, axis=0)
-        gradient = np.stack([np.bincount(ids, weights=rest[:, k], minlength=1 << TABLE_BITS) for k in range(labels)], axis=1)
+        rest = (seen - got) / root
+        spread = lambda k: np.bincount(ids, weights=np.repeat(rest[:, k], size), minlength=1 << TABLE_BITS)
+        gradient = np.stack([spread(k) for k in range(labels)], axis=1)
         begun = np.bincount(label[firsts], minlength=labels) - found[firsts].sum(axis=0)
         n = len(label)
         adam.step(gradient / n - 1e-6 * model.weights, (want_pairs - pairs) / n, begun / len(firsts))
@@ -121,7 +129,7 @@ def fit(texts: list[str], languages: list[str], *, rounds: int = 15, spliced: fl
 
 
 def fit_on(
-    docs: DataFrame, trained: Column, *, per_language: int = 250, most_languages: int = 64, most_chars: int = 200_000
+    docs: DataFrame, trained: Column, *, per_language: int = 120, most_languages: int = 64, most_chars: int = 200_000
 ) -> Model:
     """A model from a sample of labelled rows: about `per_language` rows of each of the `most_languages` most frequent
     languages, chosen by a hash of the id, each of at most `most_chars` characters. Only the sample reaches the driver.
