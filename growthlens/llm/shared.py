@@ -22,14 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Whether the shuffle files of a query go as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The frame, computed once and written as a table into the folder that all executors share.
 
-    Tables lie below the application's id; they outlive lost executors, and `clear_kept` removes them.
+    Tables lie below the application's id; they outlive lost executors, and `clear_kept` removes them. Nothing reads the
+    shuffle files behind a finished table again, so they are dropped at once instead of piling up on local disks.
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4()}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
