@@ -15,6 +15,7 @@ SCHEMAS = {
     "labels": "doc_id bigint, quality int, toxic int",
     "embeddings": "vec_id bigint, embedding array<float>, label int",
     "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
 
