@@ -156,7 +156,8 @@ def summary(judged: DataFrame) -> DataFrame:
     )
     wide = [F.col(c).cast("decimal(38,0)") for c in ("most", "least", "new_turn")]
     gaps = F.least(wide[0] - wide[1] + 1 - wide[2], F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long")
-    return whole.select("conv", F.coalesce(gaps, F.lit(0).cast("long")).alias("gaps"), "blank", "duplicate", "truncated", "illegal", "word")
+    gaps = F.when(F.col("most").isNotNull(), gaps).otherwise(F.lit(0).cast("long"))
+    return whole.select("conv", gaps.alias("gaps"), "blank", "duplicate", "truncated", "illegal", "word")
 
 
 def audits(words: DataFrame) -> DataFrame:
