@@ -23,6 +23,8 @@ from growthlens.llm.crf import Adam, marginals, observed_pairs
 UNDETERMINED = "und"
 #: Bits of the table of feature weights.
 TABLE_BITS = 16
+#: Bytes of text worked on at a time; the features of a block take about a hundred times as much memory.
+BLOCK = 1 << 20
 
 
 def word_features(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +84,8 @@ class Model:
     def label(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row and marginals of every word, and the chain lengths."""
         data, begin, end, number, row, lengths = _words(column)
+        if not len(row):
+            return row, np.zeros((0, len(self.languages))), lengths
         found, _ = marginals(self.word_scores(data, begin, end)[number], lengths, self.transition, self.start)
         return row, found, lengths
 
@@ -160,7 +164,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
         model = shared.value
         names = np.array([*model.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            for part in tokens.blocks(batch, text, 6 << 20):
+            for part in tokens.blocks(batch, text, BLOCK):
                 n, labels = part.num_rows, len(model.languages)
                 total = np.zeros((n, max(labels, 1)))
                 count = np.zeros(n)
