@@ -119,9 +119,9 @@ def _placed(nodes: DataFrame, cells: Cells, width: int) -> DataFrame:
     return counted.groupBy("cell", "part").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.min("least").alias("least"), F.max("radius").alias("radius"))
 
 
-def _dealt(nodes: DataFrame, cells: Cells, width: int) -> DataFrame:
+def _dealt(nodes: DataFrame, cells: Cells, width: int, least: np.ndarray) -> DataFrame:
     """The blocks' rows: own vectors (side 0) once per portion they meet, others (side 1) once per block they meet."""
-    out = f"{_BLOCK}, side int, node long, weight long, vector array<double>"
+    out = f"{_BLOCK}, side int, node long, leader long, weight long, vector array<double>"
 
     def times(row, cell, part, count, **named):
         """Each (row, cell) repeated count times, with the number of the copy."""
@@ -135,24 +135,25 @@ def _dealt(nodes: DataFrame, cells: Cells, width: int) -> DataFrame:
                 batch = whole.slice(i, 1024)
                 node = batch.column("node").to_numpy()
                 home, own, row, cell, far = cells.place(cells.distances(units(_vectors(batch.column("vector"), width))))
+                leader = np.where(own == 0, least[home], node)
                 at = np.concatenate((np.arange(len(node)), row)), np.concatenate((home, cell)), np.concatenate((own, far))
                 mixed = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
                 for part, met in enumerate(MEETS):
                     mine = np.flatnonzero(own == part)
                     count = cells.streams[home[mine], part]
                     r, c, p, stream = times(mine, home[mine], part, count)
-                    yield rows(batch, r, c, p, mixed[r] % np.maximum(cells.shards[c, part], 1).astype(np.uint64), stream, 0)
+                    yield rows(batch, leader, r, c, p, mixed[r] % np.maximum(cells.shards[c, part], 1).astype(np.uint64), stream, 0)
                     others = np.flatnonzero(np.isin(at[2], met) & (cells.streams[at[1], part] > 0))
                     r, c, p, shard = times(at[0][others], at[1][others], part, cells.shards[at[1][others], part])
                     stream = (mixed[r] >> np.uint64(22)) % np.maximum(cells.streams[c, part], 1).astype(np.uint64)
-                    yield rows(batch, r, c, p, shard, stream, 1)
+                    yield rows(batch, leader, r, c, p, shard, stream, 1)
 
-    def rows(batch, r, c, p, shard, stream, side):
+    def rows(batch, leader, r, c, p, shard, stream, side):
         taken = batch.take(pa.array(r))
         numbers = [pa.array(np.asarray(x).astype(np.int32)) for x in (c, p, shard, stream)]
         return pa.RecordBatch.from_arrays(
-            [*numbers, pa.array(np.full(len(r), side, np.int32)), *(taken.column(n) for n in ("node", "weight", "vector"))],
-            ["cell", "part", "shard", "stream", "side", "node", "weight", "vector"],
+            [*numbers, pa.array(np.full(len(r), side, np.int32)), taken.column("node"), pa.array(leader[r]), taken.column("weight"), taken.column("vector")],
+            ["cell", "part", "shard", "stream", "side", "node", "leader", "weight", "vector"],
         )
 
     element = nodes.schema["vector"].dataType.simpleString()
@@ -160,15 +161,15 @@ def _dealt(nodes: DataFrame, cells: Cells, width: int) -> DataFrame:
 
 
 class Block:
-    """Vectors of one cell that others stream past: link counts, and links that join them into groups."""
+    """Vectors of one cell that others stream past: link counts, and links between leaders that join them into groups."""
 
-    def __init__(self, node: np.ndarray, vectors: np.ndarray, cosine: float):
-        self.node, self.raw, self.unit, self.cosine = node, vectors, units(vectors), cosine
+    def __init__(self, node: np.ndarray, leader: np.ndarray, vectors: np.ndarray, cosine: float):
+        self.node, self.leader, self.raw, self.unit, self.cosine = node, leader, vectors, units(vectors), cosine
         self.links = np.zeros(len(node), np.int64)
         self.group = np.arange(len(node))
 
-    def meet(self, node: np.ndarray, vectors: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count others of these vectors; returns links (own, other), one for each other vector that has any."""
+    def meet(self, node: np.ndarray, leader: np.ndarray, vectors: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count others of these vectors; returns links of leaders (own, other), one for each other vector that has any."""
         cosines = self.unit @ units(vectors).T
         for i, j in zip(*np.nonzero(np.abs(cosines - self.cosine) < 1e-12)):
             a, b = self.raw[i] / np.abs(self.raw[i]).max(), vectors[j] / np.abs(vectors[j]).max()
@@ -181,7 +182,7 @@ class Block:
         change = np.flatnonzero(np.diff(other, prepend=-1))
         first = own[change]  # the first own vector linked with each other one; all its own vectors are one group
         self._join(own, np.repeat(first, np.diff(np.append(change, len(own)))))
-        return self.node[first], node[other[change]]
+        return self.leader[first], leader[other[change]]
 
     def _join(self, a: np.ndarray, b: np.ndarray) -> None:
         while True:
@@ -199,11 +200,11 @@ class Block:
 
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
         inner = np.flatnonzero(self.group != np.arange(len(self.node)))
-        return self.node[inner], self.node[self.group[inner]]
+        return self.leader[inner], self.leader[self.group[inner]]
 
 
 def _joined(dealt: DataFrame, cosine: float, width: int) -> DataFrame:
-    """(node, other, links): link counts of nodes where other is null, links between two groups where it is not."""
+    """(node, other, links): link counts of nodes where other is null, links between two leaders where it is not."""
     block = ["cell", "part", "shard", "stream"]
     ordered = dealt.repartition(*block).sortWithinPartitions(*block, "side")
     names = ["node", "other", "links"]
@@ -237,18 +238,24 @@ def _joined(dealt: DataFrame, cosine: float, width: int) -> DataFrame:
                 for i in range(cut, part.num_rows, 2048):
                     other = part.slice(i, 2048)
                     if now is None:
-                        own = [(h.column("node").to_numpy(), _vectors(h.column("vector"), width)) for h in held]
+                        own = [(h.column("node").to_numpy(), h.column("leader").to_numpy(), _vectors(h.column("vector"), width)) for h in held]
                         if not own:
                             break  # nothing of this cell's part fell into this block
-                        now, held = Block(np.concatenate([n for n, _ in own]), np.concatenate([v for _, v in own]), cosine), []
-                    yield answer(*now.meet(other.column("node").to_numpy(), _vectors(other.column("vector"), width), other.column("weight").to_numpy()))
+                        now, held = Block(*map(np.concatenate, zip(*own)), cosine), []
+                    node, leader, weight = (other.column(n).to_numpy() for n in ("node", "leader", "weight"))
+                    a, b = now.meet(node, leader, _vectors(other.column("vector"), width), weight)
+                    pairs = np.unique(np.stack((a, b), axis=1)[a != b], axis=0)
+                    yield answer(pairs[:, 0], pairs[:, 1])
         yield from finish()
 
     return ordered.mapInArrow(run, "node long, other long, links long")
 
 
 def _range_join(nodes: DataFrame, width: int, n: int, cosine: float, sample_rows: int) -> DataFrame:
-    """(node, other, links) over all vectors of one length, as in `_joined`; n: how many there are."""
+    """(node, other, links) over all vectors of one length: as in `_joined`, and once per node its leader and first links.
+
+    The leader stands for its core: the smallest node there, or the node itself outside of cores. n: number of vectors.
+    """
     r = float(np.sqrt(2 - 2 * cosine)) + ROOM
     chance = F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1 << 30)) / (1 << 30)
     drawn = nodes.where(chance < min(1.0, sample_rows / max(n, 1))).select("node", "vector").toArrow().sort_by("node")
@@ -275,14 +282,11 @@ def _range_join(nodes: DataFrame, width: int, n: int, cosine: float, sample_rows
             node, own = batch.column("node").to_numpy(), batch.column("weight").to_numpy()
             home, part, *_ = cells.place(cells.distances(units(_vectors(batch.column("vector"), width))))
             links = np.where(part == 0, weight[home], own) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(links)], ["node", "other", "links"])
-            inner = part == 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[inner]), pa.array(least[home[inner]]), pa.nulls(int(inner.sum()), pa.int64())], ["node", "other", "links"]
-            )
+            leader = np.where(part == 0, least[home], node)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(leader), pa.array(links)], ["node", "other", "links"])
 
     known = nodes.select("node", "weight", "vector").mapInArrow(alone, "node long, other long, links long")
-    return known.union(_joined(_dealt(nodes, cells, width), cosine, width))
+    return known.union(_joined(_dealt(nodes, cells, width, least), cosine, width))
 
 
 def linked(vectors: DataFrame, *, id_column: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, sample_rows: int = 16 * MOST_PIVOTS) -> DataFrame:
@@ -311,10 +315,11 @@ def linked(vectors: DataFrame, *, id_column: str = "vec_id", vector: str = "embe
         result = rows.select("row", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id"))
     else:
         found = kept(found)
-        links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("n_links"))
-        groups = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-        of_node = nodes.select("node", "key", "id").join(links, "node").join(groups, "node", "left")
-        of_node = of_node.withColumn("component", F.coalesce("component", "node"))
+        links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("n_links"), F.max("other").alias("leader"))
+        pairs = found.where("links is null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        groups = components(pairs).select(F.col("node").alias("leader"), "component")
+        of_node = nodes.select("node", "key", "id").join(links, "node").join(groups, "leader", "left")
+        of_node = of_node.withColumn("component", F.coalesce("component", "leader"))
         least = of_node.groupBy("component").agg(F.min("id").alias("component_id"))
         of_key = of_node.join(least, "component").select("key", "n_links", "component_id")
         result = rows.drop("vector").join(of_key, "key", "left").select(
