@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from growthlens.llm.shared import kept, small_or_any
+from growthlens.llm.shared import fresh, kept, small_or_any
 
 #: What lies between words: all of ASCII but digits and letters.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -89,13 +89,13 @@ def contamination(docs: DataFrame, items: DataFrame, *, size: int = 10) -> DataF
     hit = hit.groupBy(*key).agg(F.sum("new").cast("long").alias("n_hit"))
     listed = found.select(*key, "window").distinct().join(small_or_any(windows, BROADCAST_ROWS), "window")
     listed = listed.groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    results = hit.join(listed, key).select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), "n_hit", "items")
-    base = docs.drop("n_words", "n_hit", "n_items", "items", "contaminated").withColumns(
-        {"n_words": F.size(words("text")).cast("long"), "__hash": F.xxhash64("text")}
-    )
+    base = docs.drop("n_words", "n_hit", "n_items", "items", "contaminated")
+    r_id, r_hash, d_hash = fresh(base, "r_id", "r_hash", "d_hash")
+    results = hit.join(listed, key).select(F.col("doc_id").alias(r_id), F.col("text_hash").alias(r_hash), "n_hit", "items")
+    base = base.withColumns({"n_words": F.size(words("text")).cast("long"), d_hash: F.xxhash64("text")})
     results = small_or_any(kept(results), BROADCAST_ROWS)
-    joined = base.join(results, base["doc_id"].eqNullSafe(F.col("r_id")) & (base["__hash"] == F.col("r_hash")), "left")
-    return joined.drop("r_id", "r_hash", "__hash").withColumns(
+    joined = base.join(results, F.col("doc_id").eqNullSafe(F.col(r_id)) & (F.col(d_hash) == F.col(r_hash)), "left")
+    return joined.drop(r_id, r_hash, d_hash).withColumns(
         {
             "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"),
             "items": F.coalesce("items", F.array().cast("array<string>")),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from growthlens.llm.decontaminate import GAP, lower_ascii
-from growthlens.llm.shared import kept, small_or_any
+from growthlens.llm.shared import fresh, kept, small_or_any
 
 # Notices as they are published with each licence.
 TEMPLATES = [
@@ -100,9 +100,11 @@ def license_scan(files: DataFrame, *, least: float = 0.7) -> DataFrame:
     folders = base.where("path is not null").select(_directory(F.col("path")).alias("folder")).distinct()
     above = folders.select("folder", F.posexplode(_ancestors(F.concat("folder", F.lit("/x")))).alias("steps", "above"))
     nearest = above.join(roots, "above").groupBy("folder").agg(F.min_by("of", "steps").alias("of"))
-    nearest = small_or_any(kept(nearest.select(F.col("folder").alias("__folder"), F.col("of").alias("__of"))), BROADCAST_ROWS)
-    own = small_or_any(kept(found.select(F.col("path").alias("__path"), F.col("license").alias("__license"), "similarity")), BROADCAST_ROWS)
-    joined = base.join(own, F.col("path") == F.col("__path"), "left").join(nearest, _directory(F.col("path")) == F.col("__folder"), "left")
-    origin = F.when(F.col("__license").isNotNull(), "own").when(F.col("__of").isNotNull(), "inherited").otherwise("none")
-    similarity = F.coalesce("similarity", -F.col("__of.s"))
-    return joined.select(*base.columns, F.coalesce("__license", "__of.license").alias("license"), similarity.alias("similarity"), origin.alias("origin"))
+    folder, of, path, own_license, own_similarity = fresh(base, "folder", "of", "own_path", "own_license", "own_similarity")
+    nearest = small_or_any(kept(nearest.select(F.col("folder").alias(folder), F.col("of").alias(of))), BROADCAST_ROWS)
+    own = found.select(F.col("path").alias(path), F.col("license").alias(own_license), F.col("similarity").alias(own_similarity))
+    own = small_or_any(kept(own), BROADCAST_ROWS)
+    joined = base.join(own, F.col("path") == F.col(path), "left").join(nearest, _directory(F.col("path")) == F.col(folder), "left")
+    origin = F.when(F.col(own_license).isNotNull(), "own").when(F.col(of).isNotNull(), "inherited").otherwise("none")
+    license, similarity = F.coalesce(own_license, f"{of}.license"), F.coalesce(own_similarity, -F.col(f"{of}.s"))
+    return joined.select(*base.columns, license.alias("license"), similarity.alias("similarity"), origin.alias("origin"))

@@ -10,7 +10,7 @@ import pytest
 from conftest_llm import prose
 from pyspark.sql import functions as F
 
-from growthlens.llm import bpe, langid, licenses, lm, pii, quality, toxicity, topk
+from growthlens.llm import bpe, decontaminate, langid, licenses, lm, pii, quality, toxicity, topk
 
 TOKENIZER = os.environ.get("TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.json"
 ODD = [None, "", " ", "\n\n", "a" * 5000, "é語🙂 'll don't <|endoftext|> x", "one", prose(3, 2000), prose(3, 2000), "\t1.2.3.4 　x\x1cy"]
@@ -165,3 +165,20 @@ def test_attention_windows_score_each_id_once():
     one = model.log_probability(np.concatenate([ids, ids[:1], ids[:0]]), np.array([200, 1, 0]))
     assert one[0] > 200 * math.log(1 / 60) / 2 and (one < 0).all()
     assert model.log_probability(ids, np.array([200]))[0] == pytest.approx(one[0], rel=1e-5)
+
+
+def test_blocks_without_a_word(spark):
+    texts = [(i, t, "en") for i, t in enumerate(["!!! ???", "", None, " 1 2 ", "\n"] * 4)]
+    model = langid.fit(["the cat sat on the mat", "le chat est sur la table"], ["en", "fr"])
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(2)
+    assert {(r["lang_pred"], r["score"]) for r in langid.identify(df, model).collect()} == {("und", 0.0)}
+
+
+def test_clashing_columns_are_kept(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    df = spark.createDataFrame([(1, text, "a", "b", "c/d.txt", "e", "f", "g")], "doc_id long, text string, r_id string, R_hash string, path string, own_path string, d_hash string, of string")
+    items = spark.createDataFrame([(7, text)], "item_id long, text string")
+    found = decontaminate.contamination(df, items).first()
+    assert found["contaminated"] and [found[c] for c in df.columns] == list(df.first())
+    found = licenses.license_scan(df).first()
+    assert found["origin"] == "none" and [found[c] for c in df.columns] == list(df.first())
