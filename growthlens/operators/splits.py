@@ -20,13 +20,14 @@ def split_train_test(
     last_n: int | None = None,
     min_rows: int = 0,
     block_by: str | Sequence[str] | None = None,
+    cell_rows: int | None = None,
     out: str = "part",
 ) -> DataFrame:
     """Mark rows `train` or `test`: the first int(frac * n) rows of a series train, or all but its last n.
 
     Series with fewer than `min_rows` rows are left out.
     """
-    rows = position(df, keys=keys, order=order, block_by=block_by, out="__pos", total="__len")
+    rows = position(df, keys=keys, order=order, block_by=block_by, cell_rows=cell_rows, out="__pos", total="__len")
     if min_rows:
         rows = rows.where(q("__len") >= min_rows)
     cut = q("__len") - last_n if last_n is not None else F.floor(F.lit(frac) * q("__len"))

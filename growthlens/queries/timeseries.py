@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from growthlens.operators.calendars import calendar, carry_last, densify, spine, split_quarters, upsample
-from growthlens.operators.series import interpolate, lags, position, rolling_mean
+from growthlens.operators.series import interpolate, lags, lags_and_means, position, rolling_mean
 from growthlens.operators.splits import min_sample, split_train_test
 from growthlens.queries.inputs import (
     MONTHLY,
@@ -97,7 +97,7 @@ def interpolate_both(spark, sf_dir):
 WITH {_DENSE}, {interpolation_sql("dense", "", "month, nation", "revenue")}
 SELECT nation, month, ROUND(value, 4) AS revenue FROM filled""")
 def interpolate_frame(spark, sf_dir):
-    """The whole frame as one series, worked on month by month."""
+    """The whole frame as one series, whose rows are dealt out in their order."""
     return _interpolated(spark, sf_dir, order=["month", "nation"], scope="frame")
 
 
@@ -108,7 +108,7 @@ WITH reported AS (
 {interpolation_sql("reported", "o_orderstatus", "o_orderdate, o_orderkey", "price")}
 SELECT o_orderstatus, o_orderkey, ROUND(value, 4) AS price FROM filled""")
 def interpolate_order_stream(spark, sf_dir):
-    """Three series hold all orders: each is worked on day by day and stitched."""
+    """Three series hold all orders: each is worked on in cells and stitched."""
     orders = table(spark, sf_dir, "orders").select(
         "o_orderstatus", "o_orderdate", "o_orderkey",
         F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_totalprice")).alias("price"),
@@ -130,7 +130,7 @@ def lag_order_stream(spark, sf_dir):
         "o_orderstatus", "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("price")
     )
     how = {"keys": ["o_orderstatus"], "order": ["o_orderdate", "o_orderkey"], "block_by": "o_orderdate", "cols": ["price"]}
-    out = rolling_mean(lags(orders, ks=[1, 3], **how), n=3, **how)
+    out = lags_and_means(orders, ks=[1, 3], ns=[3], **how)
     return round_cols(out, ["price_rolling_mean_3"], 4).drop("o_orderdate", "price")
 
 
@@ -164,9 +164,9 @@ SELECT nation, month, CAST(lag(n_orders, 1) OVER w AS DOUBLE) AS n_orders_lag_1,
        CASE WHEN COUNT(n_orders) OVER t = 3 THEN ROUND(CAST(SUM(n_orders) OVER t AS DOUBLE) / 3, 6) END AS n_orders_rolling_mean_3
 FROM monthly WINDOW w AS (ORDER BY month, nation), t AS (ORDER BY month, nation ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
 def frame_lags_rolling(spark, sf_dir):
-    """Lags and rolling mean over the whole date-major frame, in blocks of one month."""
+    """Lags and rolling mean over the whole date-major frame as one series."""
     how = {"order": ["month", "nation"], "cols": ["n_orders"], "scope": "frame"}
-    out = rolling_mean(lags(monthly(spark, sf_dir), ks=[1, 3], **how), n=3, **how)
+    out = lags_and_means(monthly(spark, sf_dir), ks=[1, 3], ns=[3], **how)
     return round_cols(out, ["n_orders_rolling_mean_3"], 6).drop("n_orders", "revenue")
 
 

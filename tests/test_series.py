@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from growthlens.operators.series import interpolate, lags, position, rolling_mean
+from growthlens.operators.series import interpolate, lags, lags_and_means, position, rolling_mean
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +85,73 @@ def test_unknown_options_are_rejected(gaps):
         interpolate(gaps, keys=["g"], order="day", cols=["v"], direction="sideways")
     with pytest.raises(ValueError):
         lags(gaps, keys=["g"], order="day", cols=["v"], ks=[1], scope="nowhere")
+
+
+def _windows(df):
+    """The bracketed arguments of every window in the plan: expressions, partition (if any), order."""
+    for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n"):
+        if "Window [" in line:
+            groups, depth, at = [], 0, line.index("Window [") + 7
+            for i in range(at, len(line)):
+                depth += {"[": 1, "]": -1}.get(line[i], 0)
+                if line[i] == "]" and depth == 0:
+                    groups.append(line[at : i + 1])
+                elif line[i] == "[" and depth == 1:
+                    at = i
+            yield groups
+
+
+@pytest.fixture
+def small_cells(monkeypatch):
+    """Cells of about eight rows, scanned in groups of eight, at three levels."""
+    from growthlens.operators import series
+
+    monkeypatch.setattr(series, "CELL_ROWS", 8)
+    monkeypatch.setattr(series, "_DRAWN", 4)
+    monkeypatch.setattr(series, "_GROUP_BITS", 3)
+    monkeypatch.setattr(series, "_NUMBER_BITS", 9)
+    return series
+
+
+@pytest.fixture(scope="module")
+def lopsided(spark):
+    """One key holds nearly all rows, nearly all of them of one day; `id` orders the rows of a day."""
+    rng = np.random.default_rng(3)
+    rows = [("hot", 5, i) for i in range(900)] + [("hot", d, 2000 + d) for d in range(12)]
+    rows += [(None, d, 3000 + d) for d in range(40)] + [(f"k{i}", i % 3, 4000 + i) for i in range(60)]
+    rows = [(k, d, i, None if rng.random() < 0.6 else float(rng.integers(-50, 50))) for k, d, i in rows]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    return spark.createDataFrame(rows, "g string, day int, id int, v double").repartition(7).cache()
+
+
+@pytest.mark.parametrize("scope", ["group", "frame"])
+def test_cells_of_a_lopsided_table(lopsided, small_cells, scope):
+    keys, order = (["g"], ["day", "id"]) if scope == "group" else ([], ["day", "g", "id"])
+    sizes = [r["count"] for r in small_cells._celled(lopsided, keys, order).groupBy("__cell").count().collect()]
+    assert max(sizes) <= 8 * 5 and len(sizes) > 900 / 8 / 2 and sum(sizes) == lopsided.count()
+    how = {"order": order, "cols": ["v"], "scope": scope} | ({"keys": keys, "block_by": "day"} if scope == "group" else {})
+    frames = [
+        interpolate(lopsided, direction="both", **how),
+        lags_and_means(lopsided, ks=[1, 7, 20], ns=[3, 12], **how),
+    ]
+    frames += [position(lopsided, keys=keys, order=order, block_by="day", total="n")] if keys else []
+    for df in frames:
+        assert all(len(groups) == 3 for groups in _windows(df))
+    base = lopsided.toPandas().sort_values(["day", "g", "id"], na_position="first").reset_index(drop=True)
+    # interpolate skips what has no known value at all, as pandas does
+    by = base.groupby("g", dropna=False)["v"] if keys else None
+    on = lambda f: by.transform(f) if keys else f(base["v"])
+    out = [f.toPandas().set_index("id").loc[base["id"]].reset_index() for f in frames]
+    _same(out[0]["v"], on(lambda x: x.interpolate(method="linear", limit_direction="both")))
+    for k in (1, 7, 20):
+        _same(out[1][f"v_lag_{k}"], on(lambda x: x.shift(k)))
+    for n in (3, 12):
+        _same(out[1][f"v_rolling_mean_{n}"], on(lambda x: x.rolling(n).mean()))
+    if keys:
+        assert out[2]["position"].tolist() == (base.groupby("g", dropna=False).cumcount() + 1).tolist()
+        assert out[2]["n"].tolist() == base.groupby("g", dropna=False)["id"].transform("size").tolist()
+
+
+def test_cells_do_not_depend_on_the_partitions(lopsided, small_cells):
+    cells = lambda df: {r["id"]: r["__cell"] for r in small_cells._celled(df, ["g"], ["day", "id"]).select("id", "__cell").collect()}
+    assert cells(lopsided) == cells(lopsided.repartition(3, "v"))
