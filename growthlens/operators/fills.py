@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from growthlens.operators.common import join_back, q, qs, with_stats
 from growthlens.operators.series import interpolate
-from growthlens.operators.stats import quantiles
+from growthlens.operators.stats import quantiles, ranked
 
 
 def fill_means(df: DataFrame, *, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -36,11 +36,9 @@ def fill_means(df: DataFrame, *, keys: Sequence[str], cols: Sequence[str]) -> Da
 
 
 def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Fill with the exact median of the whole column; all columns share the two passes the medians take."""
-    doubles = df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    long = doubles.unpivot([], doubles.columns, "column", "value")
-    medians = quantiles(long, keys=["column"], col="value", probs=[0.5], names=["med"])
-    wide = F.struct(*[F.max(F.when(q("column") == f"c{i}", q("med"))).alias(f"c{i}") for i in range(len(cols))])
+    """Fill with the exact median of the whole column; all columns share the two scans the medians take."""
+    medians = ranked(df, [], cols, [0.5])
+    wide = F.struct(*[F.max(F.when(q("__column") == i, q("p0"))).alias(f"c{i}") for i in range(len(cols))])
     rows = df.withColumn("__med", medians.agg(wide).scalar())
     filled = {c: F.coalesce(q(c).cast("double"), q("__med")[f"c{i}"]) for i, c in enumerate(cols)}
     return rows.withColumns(filled).drop("__med")

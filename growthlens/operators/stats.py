@@ -25,76 +25,105 @@ def quantiles(
     """Exact quantiles with linear interpolation, one row per key: keys, `n` (known values), one column per prob.
 
     `percentile` keeps every distinct value of a group in one task's memory; that is used only with `bounded=True`,
-    for groups whose size has a known limit. A key without a known value has no row either way. Otherwise three passes with small shuffles: a mergeable sketch gives each
-    quantile a narrow bracket; counts per bin of the brackets, and of the gaps between them, give each bin its rank;
-    values inside the brackets are ranked bin by bin. No task holds a group. A bracket that misses its rank raises an
-    error rather than a wrong value.
+    for groups whose size has a known limit; otherwise see `ranked`. A key without a known value has no row either way.
     """
     keys = list(keys)
-    v = q(col).cast("double")
     if bounded:
+        v = q(col).cast("double")
         out = [F.percentile(v, F.lit(float(p))).alias(n) for p, n in zip(probs, names)]
         found = df.groupBy(*qs(keys)).agg(F.count(v).alias("n"), *out)
         return found.where("n > 0") if keys else found
-    rows = df.select(*qs(keys), v.alias("__v")).where(q("__v").isNotNull())
+    found = ranked(df, keys, [col], probs).where("n > 0")
+    return found.select(*qs(keys), "n", *[q(f"p{probs.index(p)}").alias(n) for p, n in zip(probs, names)])
+
+
+def ranked(df, keys, cols, probs, *, extra=None, distinct=False):
+    """Exact quantiles of several columns in two scans: one row per key and column with `__column` (its number), `n`,
+    `min`, `max`, `p0`, `p1`, ... for the probs, and `distinct` if asked for.
+
+    The first scan gives each quantile a narrow bracket by a mergeable sketch, and whatever `extra` asks for (name ->
+    function of a column). The second counts rows per cell: brackets are cut into bins, whose values are kept with their
+    counts, and the gaps between brackets need theirs only; both come from one aggregation that combines before the
+    shuffle. Counts give every cell its rank, and a rank is looked up in the values of its bin. No task holds a group,
+    but the distinct values of a bin (about a millionth of a group) lie in one row. A bracket that misses its rank
+    raises an error rather than a wrong value.
+    """
     edges = sorted({e for p in probs for e in _bracket(p)})
-    sketch = rows.groupBy(*qs(keys)).agg(
-        F.count("*").alias("n"),
-        F.approx_percentile("__v", F.array(*[F.lit(e) for e in edges]), F.lit(_ACCURACY)).alias("__e"),
-    )
-    ordered = sorted(probs)
-    lo = [q("__s")["e"][edges.index(_bracket(p)[0])] for p in ordered]
-    hi = [q("__s")["e"][edges.index(_bracket(p)[1])] for p in ordered]
-    summary = F.struct(q("__e").alias("e"), q("n")).alias("__s")
+    ordered = sorted(set(probs))
+    doubles = df.select(*qs(keys), *[q(c).cast("double").alias(f"__v{i}") for i, c in enumerate(cols)])
+
+    def sketched(i):
+        v = q(f"__v{i}")
+        brackets = F.approx_percentile(v, F.array(*[F.lit(e) for e in edges]), F.lit(_ACCURACY))
+        return F.struct(F.count(v).alias("n"), brackets.alias("e"), *[f(v).alias(n) for n, f in (extra or {}).items()])
+
+    sketches = [sketched(i).alias(f"__s{i}") for i in range(len(cols))]
     if keys:
-        rows = join_back(rows, sketch.select(*qs(keys), summary), keys)
+        rows = join_back(doubles, doubles.groupBy(*qs(keys)).agg(*sketches), keys)
+        of = lambda i: q(f"__s{i}")
     else:
-        rows = rows.withColumn("__s", sketch.select(summary).scalar())
-    # Cells rise with the value: the gap below bracket g has bin -1, the bracket itself bins 0 and up.
-    inside = reduce(or_, [q("__v").between(a, b) for a, b in zip(lo, hi)])
-    gap = reduce(add, [(q("__v") > b).cast("int") for b in hi])
-    floor, ceiling = F.get(F.array(*lo), gap), F.get(F.array(*hi), gap)
-    share = F.coalesce(F.try_divide(q("__v") - floor, ceiling - floor), F.lit(0.0))
-    bin_ = F.when(inside, F.least(F.floor(share * _BINS), F.lit(_BINS - 1))).otherwise(F.lit(-1))
-    named = [q(k).alias(f"__k{i}") for i, k in enumerate(keys)]
-    rows = rows.select("__v", q("__s")["n"].alias("n"), F.struct(*named, gap.alias("gap"), bin_.alias("bin")).alias("__cell"))
-
-    cells = rows.groupBy("__cell").agg(
-        F.count("*").alias("__m"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.max("n").alias("n")
-    )
-    of_key = W.partitionBy(*[q("__cell")[f"__k{i}"] for i in range(len(keys))])
-    earlier = of_key.orderBy(q("__cell")["gap"], q("__cell")["bin"]).rowsBetween(W.unboundedPreceding, -1)
-    cells = cells.withColumn("__base", F.coalesce(F.sum("__m").over(earlier), F.lit(0)))
-    values = rows.where(q("__cell")["bin"] >= 0).groupBy("__cell", q("__v").alias("__in")).agg(F.count("*").alias("__c"))
-    in_cell = W.partitionBy("__cell").orderBy("__in").rowsBetween(W.unboundedPreceding, 0)
-    values = values.withColumn("__sofar", F.sum("__c").over(in_cell))
-    steps = cells.join(values, "__cell", "left").select(
-        *[q("__cell")[f"__k{i}"].alias(k) for i, k in enumerate(keys)],
-        "n",
-        "__in",
-        "__min",
-        "__max",
-        (q("__base") + F.coalesce(q("__sofar") - q("__c"), F.lit(0))).alias("__before"),
-        (q("__base") + F.coalesce(q("__sofar"), q("__m"))).alias("__upto"),
+        rows = doubles.withColumn("__s", doubles.agg(F.struct(*sketches)).scalar())
+        of = lambda i: q("__s")[f"__s{i}"]
+
+    def entry(i):
+        v, e = q(f"__v{i}"), of(i)["e"]
+        lo = [F.get(e, F.lit(edges.index(_bracket(p)[0]))) for p in ordered]
+        hi = [F.get(e, F.lit(edges.index(_bracket(p)[1]))) for p in ordered]
+        # Cells rise with the value: the gap below bracket g has bin -1, the bracket itself bins 0 and up.
+        inside = reduce(or_, [v.between(a, b) for a, b in zip(lo, hi)])
+        gap = reduce(add, [(v > b).cast("int") for b in hi])
+        floor, ceiling = F.get(F.array(*lo), gap), F.get(F.array(*hi), gap)
+        share = F.coalesce(F.try_divide(v - floor, ceiling - floor), F.lit(0.0))
+        bin_ = F.when(v.isNull(), F.lit(-2)).when(inside, F.least(F.floor(share * _BINS), F.lit(_BINS - 1)).cast("int")).otherwise(F.lit(-1))
+        named = [q(k).alias(f"k{j}") for j, k in enumerate(keys)]
+        series = F.struct(F.lit(i).alias("column"), *named)
+        kept = v if distinct else F.when(inside, v)
+        return F.struct(series.alias("of"), F.coalesce(gap, F.lit(-1)).alias("gap"), bin_.alias("bin"), kept.alias("in"), v.alias("v"), of(i)["n"].alias("n"))
+
+    rows = rows.select(F.inline(F.array(*[entry(i) for i in range(len(cols))])))
+    cell = ["of", "gap", "bin"]
+    values = rows.groupBy(*cell, "in").agg(F.count("v").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"), F.max("n").alias("n"))
+    cells = values.groupBy(*cell).agg(
+        F.sum("c").alias("m"),
+        F.min("least").alias("least"),
+        F.max("most").alias("most"),
+        F.max("n").alias("known"),
+        F.count("in").alias("distinct"),
+        F.collect_list(F.when(q("bin") >= 0, F.struct(q("in").alias("v"), "c"))).alias("values"),
     )
+    before = W.partitionBy("of").orderBy("gap", "bin").rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.withColumn("base", F.coalesce(F.sum("m").over(before), F.lit(0)))
 
     def at(rank):
         # Between the brackets only the first and the last value of a gap are known.
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v"))
+
+        def step(found, x):
+            seen = found["seen"] + x["c"]
+            return F.struct(seen.alias("seen"), F.when(found["v"].isNull() & (rank - q("base") < seen), x["v"]).otherwise(found["v"]).alias("v"))
+
         known = (
-            F.when(q("__in").isNotNull(), q("__in"))
-            .when(rank == q("__before"), q("__min"))
-            .when(rank == q("__upto") - 1, q("__max"))
+            F.when(q("bin") >= 0, F.aggregate(F.sort_array("values"), start, step)["v"])
+            .when(rank == q("base"), q("least"))
+            .when(rank == q("base") + q("m") - 1, q("most"))
             .otherwise(F.raise_error(F.lit("quantiles: bracket missed the rank")).cast("double"))
         )
-        return F.max(F.when((q("__before") <= rank) & (rank < q("__upto")), known))
+        return F.max(F.when((q("base") <= rank) & (rank < q("base") + q("m")), known))
 
-    out = []
-    for p, name in zip(probs, names):
-        rank = F.lit(float(p)) * (q("n") - 1)
+    out = [F.max("known").alias("n"), F.min("least").alias("min"), F.max("most").alias("max")]
+    out += [F.sum("distinct").alias("distinct")] if distinct else []
+    for i, p in enumerate(probs):
+        rank = F.lit(float(p)) * (q("known") - 1)
         low, high = at(F.floor(rank)), at(F.ceil(rank))
-        share = F.max(rank - F.floor(rank))
-        out.append((low + (high - low) * share).alias(name))
-    return steps.groupBy(*qs(keys)).agg(F.max("n").alias("n"), *out)
+        out.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(f"p{i}"))
+    found = cells.groupBy("of").agg(*out)
+    found = found.select(*[q("of")[f"k{j}"].alias(k) for j, k in enumerate(keys)], q("of")["column"].alias("__column"), *qs(found.columns[1:]))
+    if extra is None:
+        return found
+    # the same one-row subquery as above, which Spark runs once
+    every = F.array(*[F.struct(F.lit(i).alias("__column"), *[of(i)[n].alias(n) for n in extra]) for i in range(len(cols))])
+    facts = df.sparkSession.range(1).select(doubles.agg(F.struct(*sketches)).scalar().alias("__s"))
+    return facts.select(F.inline(every)).join(found, "__column", "left")
 
 
 def _bracket(p: float) -> tuple[float, float]:
@@ -154,17 +183,11 @@ def null_report(df: DataFrame) -> DataFrame:
 def profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column: count, mean, std, min, quartiles, max and the exact number of distinct values."""
     cols = list(cols or numeric_cols(df))
-    long = df.select(*[q(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "value")
-    base = long.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.count_distinct("value").alias("distinct"),
-    )
-    quart = quantiles(long, keys=["column"], col="value", probs=[0.25, 0.5, 0.75], names=["q25", "q50", "q75"])
-    return join_back(base, quart.drop("n"), ["column"])
+    extra = {"count": F.count, "mean": F.avg, "std": F.stddev_samp}
+    found = ranked(df, [], cols, [0.25, 0.5, 0.75], extra=extra, distinct=True)
+    name = F.array(*[F.lit(c) for c in cols])[q("__column")]
+    quart = [q(f"p{i}").alias(n) for i, n in enumerate(("q25", "q50", "q75"))]
+    return found.select(name.alias("column"), "count", "mean", "std", "min", "max", F.coalesce("distinct", F.lit(0)).alias("distinct"), *quart)
 
 
 def distribution(
@@ -172,8 +195,13 @@ def distribution(
 ) -> DataFrame:
     """Minimum, quantiles and maximum per key: the numbers behind a box or violin plot."""
     names = [f"q{round(p * 100)}" for p in probs]
-    ends = df.groupBy(*qs(keys)).agg(F.min(q(col)).alias("min"), F.max(q(col)).alias("max"))
-    return join_back(ends, quantiles(df, keys=keys, col=col, probs=probs, names=names, bounded=bounded), keys)
+    kind = df.schema[col].dataType
+    if bounded:
+        parts = [F.percentile(q(col).cast("double"), F.lit(float(p))).alias(n) for p, n in zip(probs, names)]
+        return df.groupBy(*qs(keys)).agg(F.min(q(col)).alias("min"), F.max(q(col)).alias("max"), F.nullif(F.count(q(col)), F.lit(0)).alias("n"), *parts)
+    quart = [q(f"p{i}").alias(n) for i, n in enumerate(names)]
+    found = ranked(df, list(keys), [col], list(probs))
+    return found.select(*qs(keys), q("min").cast(kind).alias("min"), q("max").cast(kind).alias("max"), F.nullif("n", F.lit(0)).alias("n"), *quart)
 
 
 def correlation(df: DataFrame, cols: Sequence[str], *, keys: Sequence[str] = ()) -> DataFrame:

@@ -130,3 +130,39 @@ def test_a_missed_bracket_is_an_error_not_a_value(spark, monkeypatch):
     df = spark.range(1000).selectExpr("double(id) v")
     with pytest.raises(PySparkException, match="bracket missed"):
         stats.quantiles(df, keys=(), col="v", probs=[0.5], names=["m"]).collect()
+
+
+def _scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_exact_statistics_take_two_scans(spark, tmp_path):
+    spark.range(500).selectExpr("id % 3 g", "double(id) a", "id * 2 b", "id % 7 c", "double(id % 5) d").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert _scans(stats.quantiles(df, keys=["g"], col="a", probs=[0.1, 0.5], names=["x", "y"])) == 2
+    assert _scans(stats.distribution(df, keys=["g"], col="a")) == 2
+    out = stats.profile(df, ["a", "b", "c", "d"])
+    out.collect()
+    # brackets and base figures come from one scan, in a subquery that its readers share
+    assert "ReusedSubquery" in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["column"]: (r["count"], r["distinct"], r["q50"]) for r in out.collect()} == {
+        "a": (500, 500, 249.5), "b": (500, 500, 499.0), "c": (500, 7, 3.0), "d": (500, 5, 2.0)}
+
+
+def test_profile_and_distribution_of_missing_values(frame):
+    df = frame([("a", None, 1.0), ("a", None, None), ("b", None, -0.0)], "g string, v double, w double")
+    rows = {r["column"]: tuple(r)[1:] for r in stats.profile(df).collect()}
+    assert rows["v"] == (0, None, None, None, None, 0, None, None, None)
+    assert rows["w"][0] == 2 and rows["w"][5] == 2
+    for bounded in (True, False):
+        out = {r["g"]: r for r in stats.distribution(df, keys=["g"], col="v", bounded=bounded).collect()}
+        assert {g: (r["n"], r["min"], r["q50"]) for g, r in out.items()} == {"a": (None, None, None), "b": (None, None, None)}
+
+
+def test_columns_are_ranked_together(spark):
+    rng = np.random.default_rng(1)
+    data = np.column_stack([rng.standard_normal(30_000), rng.exponential(1, 30_000) ** 3, rng.integers(0, 4, 30_000)])
+    df = spark.createDataFrame(data.tolist(), "a double, b double, c double").repartition(4)
+    rows = {r["__column"]: r for r in stats.ranked(df, [], ["a", "b", "c"], [0.5, 0.01, 0.999]).collect()}
+    for i in range(3):
+        np.testing.assert_allclose([rows[i][f"p{j}"] for j in range(3)], np.quantile(data[:, i], [0.5, 0.01, 0.999]))
