@@ -57,30 +57,25 @@ def ranked(df, keys, cols, probs, *, extra=None, distinct=False):
         brackets = F.approx_percentile(v, F.array(*[F.lit(e) for e in edges]), F.lit(_ACCURACY))
         return F.struct(F.count(v).alias("n"), brackets.alias("e"), *[f(v).alias(n) for n, f in (extra or {}).items()])
 
-    sketches = [sketched(i).alias(f"__s{i}") for i in range(len(cols))]
+    sketches = F.array(*[sketched(i) for i in range(len(cols))])
     if keys:
-        rows = join_back(doubles, doubles.groupBy(*qs(keys)).agg(*sketches), keys)
-        of = lambda i: q(f"__s{i}")
+        rows = join_back(doubles, doubles.groupBy(*qs(keys)).agg(sketches.alias("__s")), keys)
     else:
-        rows = doubles.withColumn("__s", doubles.agg(F.struct(*sketches)).scalar())
-        of = lambda i: q("__s")[f"__s{i}"]
-
-    def entry(i):
-        v, e = q(f"__v{i}"), of(i)["e"]
-        lo = [F.get(e, F.lit(edges.index(_bracket(p)[0]))) for p in ordered]
-        hi = [F.get(e, F.lit(edges.index(_bracket(p)[1]))) for p in ordered]
-        # Cells rise with the value: the gap below bracket g has bin -1, the bracket itself bins 0 and up.
-        inside = reduce(or_, [v.between(a, b) for a, b in zip(lo, hi)])
-        gap = reduce(add, [(v > b).cast("int") for b in hi])
-        floor, ceiling = F.get(F.array(*lo), gap), F.get(F.array(*hi), gap)
-        share = F.coalesce(F.try_divide(v - floor, ceiling - floor), F.lit(0.0))
-        bin_ = F.when(v.isNull(), F.lit(-2)).when(inside, F.least(F.floor(share * _BINS), F.lit(_BINS - 1)).cast("int")).otherwise(F.lit(-1))
-        named = [q(k).alias(f"k{j}") for j, k in enumerate(keys)]
-        series = F.struct(F.lit(i).alias("column"), *named)
-        kept = v if distinct else F.when(inside, v)
-        return F.struct(series.alias("of"), F.coalesce(gap, F.lit(-1)).alias("gap"), bin_.alias("bin"), kept.alias("in"), v.alias("v"), of(i)["n"].alias("n"))
-
-    rows = rows.select(F.inline(F.array(*[entry(i) for i in range(len(cols))])))
+        whole = doubles.agg(sketches.alias("__s")).scalar()
+        rows = doubles.withColumn("__s", whole)
+    series = F.struct(*[q(k).alias(f"k{j}") for j, k in enumerate(keys)])
+    # one row for each value before anything is worked out, so that the generated code stays small
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("c"), q(f"__v{i}").alias("v")) for i in range(len(cols))]))
+    rows = rows.select(series.alias("series"), "__s", each).withColumns({"e": q("__s")[q("c")]["e"], "n": q("__s")[q("c")]["n"]})
+    lo, hi = (F.array(*[F.get("e", F.lit(edges.index(_bracket(p)[side]))) for p in ordered]) for side in (0, 1))
+    rows = rows.select(F.struct("c", "series").alias("of"), "v", "n", lo.alias("lo"), hi.alias("hi"))
+    # Cells rise with the value: the gap below bracket g has bin -1, the bracket itself bins 0 and up.
+    gap = reduce(add, [(q("v") > q("hi")[i]).cast("int") for i in range(len(ordered))])
+    rows = rows.select("of", "v", "n", F.coalesce(gap, F.lit(-1)).alias("gap"), F.get("lo", gap).alias("floor"), F.get("hi", gap).alias("ceiling"))
+    share = F.coalesce(F.try_divide(q("v") - q("floor"), q("ceiling") - q("floor")), F.lit(0.0))
+    inside = (q("v") >= q("floor")) & (q("v") <= q("ceiling"))
+    bin_ = F.when(q("v").isNull(), F.lit(-2)).when(inside, F.least(F.floor(share * _BINS), F.lit(_BINS - 1)).cast("int")).otherwise(F.lit(-1))
+    rows = rows.select("of", "gap", bin_.alias("bin"), "v", "n", (q("v") if distinct else F.when(inside, q("v"))).alias("in"))
     cell = ["of", "gap", "bin"]
     values = rows.groupBy(*cell, "in").agg(F.count("v").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"), F.max("n").alias("n"))
     cells = values.groupBy(*cell).agg(
@@ -117,13 +112,12 @@ def ranked(df, keys, cols, probs, *, extra=None, distinct=False):
         low, high = at(F.floor(rank)), at(F.ceil(rank))
         out.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(f"p{i}"))
     found = cells.groupBy("of").agg(*out)
-    found = found.select(*[q("of")[f"k{j}"].alias(k) for j, k in enumerate(keys)], q("of")["column"].alias("__column"), *qs(found.columns[1:]))
+    found = found.select(*[q("of")["series"][f"k{j}"].alias(k) for j, k in enumerate(keys)], q("of")["c"].alias("__column"), *qs(found.columns[1:]))
     if extra is None:
         return found
     # the same one-row subquery as above, which Spark runs once
-    every = F.array(*[F.struct(F.lit(i).alias("__column"), *[of(i)[n].alias(n) for n in extra]) for i in range(len(cols))])
-    facts = df.sparkSession.range(1).select(doubles.agg(F.struct(*sketches)).scalar().alias("__s"))
-    return facts.select(F.inline(every)).join(found, "__column", "left")
+    facts = df.sparkSession.range(1).select(F.posexplode(whole).alias("__column", "__s"))
+    return facts.select("__column", *[q("__s")[n].alias(n) for n in extra]).join(found, "__column", "left")
 
 
 def _bracket(p: float) -> tuple[float, float]:
