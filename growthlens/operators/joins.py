@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -116,20 +116,42 @@ def patch_totals(
     """Rebuild the total region from its parts and stack it under them.
 
     Years come from the official table, limited to those the panel has. A rebuilt sum wins over the official value;
-    `keep_cols` always come from the official table.
+    `keep_cols` always come from the official table. Each input is read once: a part goes into one aggregation both as
+    itself and as a contribution to its year, which the official row joins; contributions combine before the shuffle.
+    An official table with two rows for a year is an error.
     """
-    cols = [key, region, *sum_cols, *keep_cols]
-    parts = df.where(~q(region).eqNullSafe(F.lit(total_name))).select(*qs(cols))
-    sums = parts.groupBy(q(key)).agg(*[F.coalesce(F.sum(q(c)), F.lit(0)).alias(f"__{c}") for c in sum_cols])
-    years = df.select(q(key)).distinct()
-    totals = official.join(years, on=key, how="left_semi")
-    totals = join_back(totals, sums, [key]).select(
-        q(key),
-        F.lit(total_name).alias(region),
-        *[F.coalesce(q(f"__{c}"), q(c)).alias(c) for c in sum_cols],
-        *qs(keep_cols),
+    total = q(region).eqNullSafe(F.lit(total_name))
+    kinds = {c: df.schema[c].dataType for c in (*sum_cols, *keep_cols)}
+
+    def entry(own: Column | None, part: bool, official_row: bool = False) -> Column:
+        """A row of the aggregation; its own id keeps a part as it is, without one it belongs to the total."""
+        none = own is None
+        sums = [(q(c) if part else F.lit(None).cast(kinds[c])).alias(f"s{i}") for i, c in enumerate(sum_cols)]
+        given = [(q(c) if official_row else F.lit(None).cast(kinds[c])).alias(f"o{i}") for i, c in enumerate(sum_cols)]
+        rest = [(q(c) if official_row or not none else F.lit(None).cast(kinds[c])).alias(f"k{i}") for i, c in enumerate(keep_cols)]
+        name = F.lit(total_name) if none else q(region)
+        flags = [F.lit(int(x)).alias(n) for n, x in (("part", part and none), ("seen", none and not official_row), ("official", official_row))]
+        return F.struct((F.lit(None).cast("long") if none else own).alias("id"), q(key).alias("key"), name.alias("region"), *sums, *given, *rest, *flags)
+
+    parts = F.array(entry(F.monotonically_increasing_id(), True), entry(None, True))
+    rows = df.select(F.inline(F.when(total, F.array(entry(None, False))).otherwise(parts)))
+    rows = rows.union(official.select(F.inline(F.array(entry(None, False, True)))))
+    found = rows.groupBy("key", "id").agg(
+        F.max("region").alias("region"),
+        F.sum("part").alias("part"),
+        F.sum("seen").alias("seen"),
+        F.sum("official").alias("official"),
+        *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(sum_cols))],
+        *[F.max(f"o{i}").alias(f"o{i}") for i in range(len(sum_cols))],
+        *[F.max(f"k{i}").alias(f"k{i}") for i in range(len(keep_cols))],
     )
-    return parts.unionByName(totals)
+    found = found.where(q("id").isNotNull() | (q("key").isNotNull() & (q("seen") > 0) & (q("official") > 0)))
+    one = F.when(q("official") > 1, F.raise_error(F.lit(f"two official rows for one {key}")).cast("string")).otherwise(q("region"))
+    own = q("id").isNotNull()
+    sums = [
+        F.when(own, q(f"s{i}")).when(q("part") > 0, F.coalesce(q(f"s{i}"), F.lit(0))).otherwise(q(f"o{i}")).alias(c) for i, c in enumerate(sum_cols)
+    ]
+    return found.select(q("key").alias(key), one.alias(region), *sums, *[q(f"k{i}").alias(c) for i, c in enumerate(keep_cols)])
 
 
 def fill_from_row(df: DataFrame, *, keys: Sequence[str], flag, cols: Sequence[str]) -> DataFrame:

@@ -104,6 +104,21 @@ def test_patch_totals(frame):
     assert [tuple(r) for r in out.where("r = 'All'").orderBy("y").collect()] == [
         (2000, "All", 1.0, 100.0), (2001, "All", 51.0, 101.0), (2002, "All", 0.0, 102.0)]
     assert out.where("r <> 'All'").count() == 3
+    assert out.dtypes == panel.dtypes
+
+
+def test_patch_totals_reads_each_input_once(spark, frame, tmp_path):
+    frame([(2000, "x", 1.0, 9.0), (2000, "x", 1.0, 9.0), (None, "x", 2.0, 9.0)], "y int, r string, p double, e double").write.parquet(str(tmp_path / "p"))
+    panel = spark.read.parquet(str(tmp_path / "p"))
+    official = frame([(2000, "All", 50.0, 100.0), (None, "All", 50.0, 100.0)], "y int, r string, p double, e double")
+    how = {"key": "y", "region": "r", "total_name": "All", "sum_cols": ["p"], "keep_cols": ["e"]}
+    out = patch_totals(panel, official, **how)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    # rows that repeat are parts of their own; a missing year has no total
+    got = sorted((str(r.y), r.r, r.p, r.e) for r in out.collect())
+    assert got == [("2000", "All", 2.0, 100.0), ("2000", "x", 1.0, 9.0), ("2000", "x", 1.0, 9.0), ("None", "x", 2.0, 9.0)]
+    with pytest.raises(Exception, match="two official rows"):
+        patch_totals(panel, official.union(official), **how).collect()
 
 
 def test_fill_from_row_melt_and_aliases(frame):
