@@ -41,7 +41,10 @@ def backtest_and_forecast(
 ) -> tuple[DataFrame, DataFrame]:
     """(metrics, forecast): metrics per key and model, and the forecast of each key's best model.
 
-    `tree_options` go to the tree models (depth, seed, key_feature). The feature panel is written once to the checkpoint folder: every candidate reads it, and training is iterative.
+    `tree_options` go to the tree models (depth, seed, rate, key_feature). Trees are fitted per series, and a model is
+    refitted on the series it has won and no others; with `per_group=False` in `tree_options` one pooled model learns
+    from all series, also in the refit. The feature panel is written once to the checkpoint folder: every candidate
+    reads it.
     """
     keys = list(keys)
     ensure_checkpoint_dir(df.sparkSession)
@@ -51,7 +54,7 @@ def backtest_and_forecast(
     ).checkpoint()
     if split.isEmpty():
         raise NotEnoughData(f"no series has {min_rows} rows")
-    grown = {"trees": trees, **(tree_options or {})}
+    grown = {"trees": trees, "per_group": True, **(tree_options or {})}
     common = {"keys": keys, "time": time, "target": target}
 
     def test_rows(name: str) -> DataFrame:
@@ -76,6 +79,8 @@ def backtest_and_forecast(
             out = forecast_trend(winners, **common, **horizon)
         elif name == "additive":
             out = forecast_additive(winners, regressors=features, **common, **horizon)
+        elif grown["per_group"]:
+            out = forecast_trees(winners, features=features, kind=name, **grown, **common, **horizon)
         else:
             # The pooled model learns from every series, its forecast is kept for the winners.
             out = forecast_trees(history, features=features, kind=name, **grown, **common, **horizon)

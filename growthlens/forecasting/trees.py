@@ -1,4 +1,4 @@
-"""Tree regressions on lag, rolling and calendar features with Spark ML."""
+"""Tree regressions on lag, rolling and calendar features: pooled with Spark ML, or one model per series."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from growthlens.forecasting.series_trees import fit_series_trees
 from growthlens.operators.calendars import carry_last
 from growthlens.operators.common import join_back, q, qs
 from growthlens.operators.project import complete_rows
@@ -28,18 +29,29 @@ def fit_trees(
     trees: int = 100,
     depth: int = 8,
     key_feature: bool = True,
+    per_group: bool = False,
+    rate: float = 0.3,
     part: str = "part",
 ) -> DataFrame:
     """Fit on `train` rows, predict the `test` rows: keys, time, target, predicted.
 
     One pooled model over all series, trained on the cluster (an action). With `key_feature` a series is known to it by
-    the mean, deviation and slope of its training target, whatever the number of series.
+    the mean, deviation and slope of its training target, whatever the number of series. With `per_group` every series
+    has a model of its own, all of them grown in one job and nothing run before it is asked for; a series without
+    training rows gets no prediction. `rate` shrinks the boosted trees.
     Rows with a missing feature or target take no part in the fit, rows with a missing feature get no prediction.
     """
+    if kind not in ("rf", "gbt"):
+        raise ValueError(f"unknown tree model {kind!r}")
     rows = df.select(*qs([*keys, time, part]), q(target).cast("double").alias("__y"), *_features(features))
     names = [f"__f{i}" for i in range(len(features))]
     rows = complete_rows(rows, names)
     train = (q(part) == "train") & q("__y").isNotNull()
+    if per_group:
+        rows = rows.where(train | (q(part) == "test"))
+        how = {"kind": kind, "trees": trees, "depth": depth, "rate": rate, "seed": seed}
+        found = fit_series_trees(rows, keys=keys, time=time, target="__y", features=names, train=train, **how)
+        return found.where(q("predicted").isNotNull()).withColumnRenamed("__y", target)
     if key_feature:
         rows, extra = _described(rows, keys, time, train)
         names = [*names, *extra]
@@ -49,10 +61,8 @@ def fit_trees(
     }
     if kind == "rf":
         stages.append(RandomForestRegressor(numTrees=trees, **common))
-    elif kind == "gbt":
-        stages.append(GBTRegressor(maxIter=trees, stepSize=0.3, **common))
     else:
-        raise ValueError(f"unknown tree model {kind!r}")
+        stages.append(GBTRegressor(maxIter=trees, stepSize=rate, **common))
     model = Pipeline(stages=stages).fit(rows.where(train))
     predicted = model.transform(rows.where(q(part) == "test"))
     return predicted.select(*qs([*keys, time]), q("__y").alias(target), "predicted")

@@ -231,9 +231,9 @@ def _features(spark, sf_dir):
     return complete_rows(calendar(out, "ref_date"))
 
 
-def _trees(spark, sf_dir, kind):
+def _trees(spark, sf_dir, kind, features=FEATURES, **options):
     split = split_train_test(_features(spark, sf_dir), keys=["nation"], order="ref_date", min_rows=50)
-    return fit_trees(split, keys=["nation"], time="ref_date", target="n_orders", features=FEATURES, kind=kind)
+    return fit_trees(split, keys=["nation"], time="ref_date", target="n_orders", features=features, kind=kind, **options)
 
 
 @query()
@@ -246,6 +246,63 @@ def gbt_forecast(spark, sf_dir):
     return _trees(spark, sf_dir, "gbt")
 
 
+_SPLIT = f"""{MONTHLY},
+features AS (
+  SELECT nation, month, n_orders, lag(n_orders, 1) OVER w AS lag_1, lag(n_orders, 3) OVER w AS lag_3
+  FROM monthly WINDOW w AS (PARTITION BY nation ORDER BY month)),
+split AS (
+  SELECT nation, month, n_orders AS y, lag_1 AS x, row_number() OVER w <= floor(0.8 * COUNT(*) OVER (PARTITION BY nation)) AS train
+  FROM features WHERE lag_3 IS NOT NULL
+  WINDOW w AS (PARTITION BY nation ORDER BY month) QUALIFY COUNT(*) OVER (PARTITION BY nation) >= 50)"""
+
+
+@query(f"""
+WITH {_SPLIT},
+edges AS (
+  SELECT nation, x, (x + lead(x) OVER (PARTITION BY nation ORDER BY x)) / 2 AS edge FROM (SELECT DISTINCT nation, x FROM split WHERE train)),
+cuts AS (
+  SELECT s.nation, edge, SUM(y) FILTER (WHERE s.x <= edge) AS ls, COUNT(*) FILTER (WHERE s.x <= edge) AS lw,
+         SUM(y) FILTER (WHERE s.x > edge) AS rs, COUNT(*) FILTER (WHERE s.x > edge) AS rw
+  FROM split s JOIN edges e ON e.nation = s.nation AND edge IS NOT NULL WHERE train GROUP BY ALL),
+best AS (
+  SELECT nation, arg_max(edge, (ls * ls / lw + rs * rs / rw, -edge)) AS edge, arg_max(ls / lw, (ls * ls / lw + rs * rs / rw, -edge)) AS l,
+         arg_max(rs / rw, (ls * ls / lw + rs * rs / rw, -edge)) AS r
+  FROM (SELECT nation, edge, CAST(ls AS DOUBLE) AS ls, lw, CAST(rs AS DOUBLE) AS rs, rw FROM cuts) GROUP BY 1)
+SELECT nation, month AS ref_date, ROUND(CASE WHEN x <= edge THEN l ELSE r END, 6) AS predicted FROM split JOIN best USING (nation)
+WHERE NOT train""")
+def stump_per_series(spark, sf_dir):
+    """One tree of one split for every nation, each by its own best cut."""
+    out = _trees(spark, sf_dir, "gbt", features=["n_orders_lag_1"], per_group=True, trees=1, depth=1, rate=1.0)
+    return round_cols(out, ["predicted"], 6).drop("n_orders")
+
+
+@query(f"""
+WITH {_SPLIT}
+SELECT nation, COUNT(*) FILTER (WHERE NOT train) AS n_predicted, TRUE AS inside FROM split GROUP BY 1""")
+def rf_per_series(spark, sf_dir):
+    """A forest for every nation: a mean of leaves never leaves the range of the nation's training target."""
+    out = _trees(spark, sf_dir, "rf", per_group=True)
+    split = split_train_test(_features(spark, sf_dir), keys=["nation"], order="ref_date", min_rows=50).where("part = 'train'")
+    known = split.groupBy("nation").agg(F.min("n_orders").alias("lo"), F.max("n_orders").alias("hi"))
+    inside = F.bool_and(F.col("predicted").between(F.col("lo") - 1e-9, F.col("hi") + 1e-9))
+    return out.join(known, "nation").groupBy("nation").agg(F.count("predicted").alias("n_predicted"), inside.alias("inside"))
+
+
+@query(f"""
+WITH {_SPLIT}
+SELECT nation, 3 AS n_scored, TRUE AS least, 144 AS n_ahead FROM split GROUP BY 1""")
+def selected_models(spark, sf_dir):
+    """Candidates scored per nation, whether the model that forecasts is the one with the least error, months ahead."""
+    metrics, ahead = backtest_and_forecast(
+        _features(spark, sf_dir), keys=["nation"], time="ref_date", target="n_orders", features=FEATURES,
+        start="2024-01-01", end="2035-12-01", trees=20,
+    )
+    scored = metrics.groupBy("nation").agg(F.count("rmse").cast("int").alias("n_scored"), F.min("rmse").alias("best"))
+    used = ahead.groupBy("nation", "model").agg(F.count("predicted").cast("int").alias("n_ahead"))
+    used = used.join(metrics.select("nation", "model", "rmse"), ["nation", "model"])
+    return scored.join(used, "nation").select("nation", "n_scored", (F.col("rmse") == F.col("best")).alias("least"), "n_ahead")
+
+
 @query()
 def additive_backtest(spark, sf_dir):
     split = split_train_test(_features(spark, sf_dir), keys=["nation"], order="ref_date", min_rows=50)

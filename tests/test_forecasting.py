@@ -180,3 +180,120 @@ def test_trees_take_any_number_of_series(spark):
     out = fit_trees(rows, keys=["g"], time="t", target="y", features=["x"], trees=3, depth=6)
     assert out.count() == 1500
     assert out.selectExpr("avg(abs(predicted - y)) AS e").first()["e"] < 300  # 375 if no series were known
+
+
+def _slow_tree(x, y, w, rows, asked, depth, leaf):
+    """One tree by recursion over explicit row lists, for integer targets; fills leaf[row] for rows and asked."""
+    weight = sum(w[i] for i in rows)
+    total = sum(w[i] * y[i] for i in rows)
+    for i in asked:
+        leaf[i] = total / weight
+    best = (1e-9 * sum(w[i] * y[i] ** 2 for i in rows), None)
+    for f in range(len(x)) if depth else ():
+        for cut in sorted({x[f][i] for i in asked}):
+            left = [i for i in rows if x[f][i] <= cut]
+            a, sa = sum(w[i] for i in left), sum(w[i] * y[i] for i in left)
+            if a < 1 or weight - a < 1:
+                continue
+            gain = sa**2 / a + (total - sa) ** 2 / (weight - a) - total**2 / weight
+            if gain > best[0] * (1 + 1e-12) + (1e-9 * sum(w[i] * y[i] ** 2 for i in rows) if best[1] else 0):
+                best = (gain, (f, cut))
+    if best[1]:
+        f, cut = best[1]
+        for side in (True, False):
+            pick = lambda of: [i for i in of if (x[f][i] <= cut) == side]  # noqa: B023, E731
+            _slow_tree(x, y, w, pick(rows), pick(asked), depth - 1, leaf)
+
+
+@pytest.mark.parametrize("kind", ["rf", "gbt"])
+def test_series_trees_equal_recursion(kind):
+    from growthlens.forecasting import series_trees as st
+
+    rng = np.random.default_rng(6)
+    sizes = [30, 1, 17, 44]
+    series = np.repeat(np.arange(4), sizes)
+    n = len(series)
+    x = np.stack([rng.integers(0, 9, n), rng.normal(size=n), rng.integers(0, 2, n)]).astype(float)
+    y = rng.integers(-20, 20, n).astype(float)
+    train = rng.random(n) < 0.8
+    train[30] = False  # the series of one row has nothing to learn from
+    row = rng.integers(-(2**62), 2**62, n)
+    how = {"kind": kind, "trees": 6, "depth": 3, "rate": 0.5, "seed": 1}
+    got = st.predicted(x, np.where(train, y, 0), train, series, row, **how)
+    assert np.isnan(got[30])
+    for s in (0, 2, 3):
+        at = np.flatnonzero(series == s)
+        bins = [st.binned(f[at], train[at], series[at]).tolist() for f in x]
+        # every cut between two training values is a bin of its own
+        assert all(len(set(b)) <= len(np.unique(f[at][train[at]])) for b, f in zip(bins, x))
+        w, own, total = train[at].astype(float), y[at], np.zeros(len(at))
+        if kind == "gbt":
+            total += own[train[at]].mean()
+        for tree in range(6):
+            leaf = np.zeros(len(at))
+            weight = w * st._draws(row[at], tree, 1) if kind == "rf" else w
+            residual = own if kind == "rf" else own - total
+            rows = [i for i in range(len(at)) if weight[i]]
+            _slow_tree(bins, residual, weight, rows, list(range(len(at))), 3, leaf)
+            total += leaf / 6 if kind == "rf" else 0.5 * leaf
+        np.testing.assert_allclose(got[at], total, rtol=1e-9, atol=1e-9)
+
+
+def test_series_do_not_depend_on_their_block(spark, monkeypatch):
+    from growthlens.forecasting import series_trees as st
+
+    rows = spark.range(3000).selectExpr(
+        "concat('g', id % 60) AS g", "CAST(id DIV 60 AS INT) AS t", "CAST(id * 7919 % 101 AS DOUBLE) AS y", "CAST(id % 13 AS DOUBLE) AS x",
+        "if(id DIV 60 < 40, 'train', 'test') AS part",
+    )
+    how = {"keys": ["g"], "time": "t", "target": "y", "features": ["x"], "trees": 8, "depth": 3, "per_group": True}
+    whole = fit_trees(rows, **how).toPandas().sort_values(["g", "t"], ignore_index=True)
+    monkeypatch.setattr(st, "BLOCK_ROWS", 70)
+    split = fit_trees(rows.repartition(5), **how).toPandas().sort_values(["g", "t"], ignore_index=True)
+    assert len(whole) == 600
+    pd.testing.assert_frame_equal(whole, split)
+    one = fit_trees(rows.where("g = 'g7'"), **how).toPandas().sort_values("t", ignore_index=True)
+    pd.testing.assert_frame_equal(one, whole[whole["g"] == "g7"].reset_index(drop=True))
+
+
+def test_series_trees_take_no_job_per_series(spark):
+    """Nothing runs while the plan is built, and the plan is the same for 10 and for 1000 series."""
+    context, plans = spark.sparkContext, []
+    for n in (10, 1000):
+        rows = spark.range(n * 20).selectExpr(f"id % {n} g", f"id DIV {n} t", "id % 17 y", "id % 5 x", f"if(id DIV {n} < 15, 'train', 'test') part")
+        context.setJobGroup(f"trees-{n}", "")
+        out = fit_trees(rows, keys=["g"], time="t", target="y", features=["x"], trees=2, depth=2, per_group=True)
+        assert not context.statusTracker().getJobIdsForGroup(f"trees-{n}")
+        assert out.count() == n * 5
+        plans.append(len(context.statusTracker().getJobIdsForGroup(f"trees-{n}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert plans[0] == plans[1]
+
+
+def test_series_trees_of_missing_and_odd_rows(frame):
+    rows = [("a", 1, 1.0, 0.0, "train"), ("a", 2, None, 0.0, "train"), ("a", 3, 5.0, 1.0, "train"), ("a", 4, None, 1.0, "test"),
+            ("a", 5, 9.0, None, "test"), (None, 1, 2.0, 0.0, "train"), (None, 2, None, 0.0, "test"), ("b", 1, None, 0.0, "test")]
+    df = frame(rows, "g string, t int, y double, x double, part string")
+    out = fit_trees(df, keys=["g"], time="t", target="y", features=["x"], kind="gbt", trees=1, depth=1, rate=1.0, per_group=True)
+    assert sorted((str(r.g), r.t, r.predicted) for r in out.collect()) == [("None", 2, 2.0), ("a", 4, 5.0)]
+    assert fit_trees(df.limit(0), keys=["g"], time="t", target="y", features=["x"], per_group=True).count() == 0
+
+
+def test_only_winners_are_refitted(panel, monkeypatch):
+    from growthlens.forecasting import backtest
+
+    seen = {}
+
+    def spy(df, **options):
+        seen[options["kind"]] = (df.count(), {r.g for r in df.select("g").distinct().collect()}, options["per_group"])
+        return forecast_trees(df, **options)
+
+    monkeypatch.setattr(backtest, "forecast_trees", spy)
+    metrics, ahead = backtest_and_forecast(
+        panel, **COMMON, features=["x", "month"], candidates=("rf", "gbt"), start="2024-01-01", end="2024-12-01", trees=5
+    )
+    best = {r.g: r.best_model for r in pick_best(metrics, keys=["g"], prefer=["rf", "gbt"]).collect()}
+    assert set(seen) == set(best.values())
+    for model, (n, series, per_group) in seen.items():
+        assert per_group and series == {g for g, m in best.items() if m == model} and n == 72 * len(series)
+    assert ahead.count() == 12 * len(best)
