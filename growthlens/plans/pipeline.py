@@ -64,7 +64,7 @@ def run_all(spark: SparkSession, raw: str, out: str, *, trees: int = 100, fmt: s
     written: dict[str, tuple[str, int]] = {}
 
     def ordered(name: str) -> DataFrame:
-        return read_tables(spark, f"{raw}/{name}", with_ordinal=True)
+        return read_tables(spark, f"{raw}/{name}", with_ordinal=True, on_bad="skip")
 
     def save(name: str, build: Callable[[], DataFrame]) -> None:
         try:
