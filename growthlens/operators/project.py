@@ -64,8 +64,14 @@ def every_nth(df: DataFrame, ordinal: str, n: int, k: int) -> DataFrame:
     return df.where(F.pmod(q(ordinal), F.lit(n)) == k)
 
 
-def drop_sparse(df: DataFrame, max_null: float = 0.9) -> DataFrame:
-    """Drop columns with a higher share of missing values. Runs one aggregate: the schema depends on the data."""
-    shares = [F.avg(q(c).isNull().cast("int")).alias(c) for c in df.columns]
-    row = df.agg(*shares).first()
-    return df.select(*[q(c) for c in df.columns if row[c] is None or row[c] <= max_null])
+def null_shares(df: DataFrame) -> dict[str, Column]:
+    """Aggregates for the share of missing values of each column; NULL over no rows."""
+    return {f"c{i}": F.avg(q(c).isNull().cast("int")) for i, c in enumerate(df.columns)}
+
+
+def drop_sparse(df: DataFrame, max_null: float = 0.9, shares: Mapping[str, float | None] | None = None) -> DataFrame:
+    """Drop columns with a higher share of missing values: the schema depends on the data. Runs one aggregate unless the
+    values of `null_shares` are given."""
+    if shares is None:
+        shares = df.agg(*[c.alias(n) for n, c in null_shares(df).items()]).first().asDict()
+    return df.select(*[q(c) for i, c in enumerate(df.columns) if shares[f"c{i}"] is None or shares[f"c{i}"] <= max_null])

@@ -16,12 +16,12 @@ from growthlens.operators.common import q, qs
 from growthlens.operators.fills import fill_means, repair
 from growthlens.operators.joins import merge_features
 from growthlens.operators.pivots import pivot_panel
-from growthlens.operators.project import complete_rows, drop_sparse, drop_value, keep_range, keep_values, numeric_cols, require, zeros_to_null
+from growthlens.operators.project import complete_rows, drop_sparse, drop_value, keep_range, keep_values, null_shares, numeric_cols, require, zeros_to_null
 from growthlens.operators.series import interpolate
 from growthlens.operators.splits import min_sample
 from growthlens.operators.stats import iqr_filter
 from growthlens.plans.regions import REGIONS
-from growthlens.session import ensure_checkpoint_dir
+from growthlens.session import ensure_checkpoint_dir, materialised
 
 # Categories as published.
 WORK_STATUS = ["Full-time educators", "Part-time educators", "Total, work status"]
@@ -104,11 +104,13 @@ def education_features(tables: Sequence[DataFrame]) -> DataFrame:
 
 
 def enhance(merged: DataFrame, *, max_null: float = 0.9, zeros_as_null: bool = False) -> DataFrame:
-    """Sparse columns dropped (an action), gaps filled, five derived features added.
+    """Sparse columns dropped, gaps filled, five derived features added.
 
-    In the ratios a source value of 0 counts as missing; with `zeros_as_null` the source columns lose their zeros too.
+    The merge is computed once (an action) into a table, whose missing values are counted while it is written; fills and
+    features read that. In the ratios a source value of 0 counts as missing; with `zeros_as_null` the source columns lose their zeros too.
     """
-    rows = drop_sparse(merged, max_null)
+    stored, shares = materialised(merged, null_shares(merged))
+    rows = drop_sparse(stored, max_null, shares)
     numbers = numeric_cols(rows)
     rows = interpolate(rows, keys=["GEO"], order="REF_DATE", cols=numbers)
     rows = fill_means(rows, keys=["GEO"], cols=numbers)

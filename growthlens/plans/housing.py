@@ -18,8 +18,9 @@ from growthlens.operators.fills import fill_median
 from growthlens.operators.joins import apply_aliases, merge_features
 from growthlens.operators.pivots import pivot_panel
 from growthlens.operators.project import complete_rows, keep_range, keep_values, numeric_cols, require
-from growthlens.operators.series import interpolate, lags, rolling_mean
+from growthlens.operators.series import interpolate, lags_and_means
 from growthlens.plans.regions import HOUSEHOLD_ALIASES, REGIONS
+from growthlens.session import materialised
 from growthlens.sources.files import plain_path, read_tables, with_name_part
 from growthlens.sources.sheets import read_sheet
 
@@ -162,10 +163,12 @@ def engineer_features(
     how: dict[str, Any] = {"keys": ["GEO"], "order": "REF_DATE"}
     if scope == "frame":
         how = {"order": ["REF_DATE", "GEO"], "scope": "frame"}
-    rows = fill_median(interpolate(rows, cols=numbers, **how), numbers)
+    # medians and rows are three readers of the interpolated panel
+    rows, _ = materialised(interpolate(rows, cols=numbers, **how))
+    rows = fill_median(rows, numbers)
     rows = calendar(rows, "REF_DATE")
     cols = [c for c in FEATURES if c in rows.columns]
-    rows = rolling_mean(lags(rows, cols=cols, ks=[1, 3, 6], **how), cols=cols, n=3, **how)
+    rows = lags_and_means(rows, cols=cols, ks=[1, 3, 6], ns=[3], **how)
     return complete_rows(rows)
 
 

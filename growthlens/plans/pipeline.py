@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from growthlens.forecasting.backtest import NotEnoughData
 from growthlens.operators.stats import null_report
 from growthlens.plans import education, housing, population
+from growthlens.session import shared_tables
 from growthlens.sources.files import ORDINAL, read_tables
 from growthlens.sources.sinks import run_report, write_table
 
@@ -67,15 +68,16 @@ def run_all(spark: SparkSession, raw: str, out: str, *, trees: int = 100, fmt: s
         return read_tables(spark, f"{raw}/{name}", with_ordinal=True, on_bad="skip")
 
     def save(name: str, build: Callable[[], DataFrame]) -> None:
-        try:
-            df = build()
-        except (AnalysisException, FileNotFoundError) as e:
-            if isinstance(e, AnalysisException) and e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            log.warning("%s skipped: %s", name, e)
-            return
-        done[name] = f"{out}/{name}"
-        written[name] = done[name], write_table(df, done[name])
+        with shared_tables(spark):  # what the plan stores for its own readers goes once the result is written
+            try:
+                df = build()
+            except (AnalysisException, FileNotFoundError) as e:
+                if isinstance(e, AnalysisException) and e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                log.warning("%s skipped: %s", name, e)
+                return
+            done[name] = f"{out}/{name}"
+            written[name] = done[name], write_table(df, done[name])
         if fmt == "csv":
             write_table(spark.read.parquet(done[name]), f"{out}/csv/{name}", fmt=fmt)
 

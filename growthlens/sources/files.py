@@ -5,7 +5,6 @@ from __future__ import annotations
 import csv
 import logging
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -19,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from growthlens.session import checkpoint_dir
+from growthlens.session import materialised
 
 log = logging.getLogger(__name__)
 
@@ -103,14 +102,6 @@ def _columns(header: str) -> list[str]:
     return [f"_c{i}" if not n else f"{n}{i}" if often[n] > 1 else n for i, n in enumerate(names)]
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """A table that several readers share, computed once, in the folder all executors see."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{uuid.uuid4()}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read_tables(
     spark: SparkSession, path: str, *, with_source: bool = False, with_ordinal: bool = False, on_bad: str = "fail", most_bad_files: int = 100
 ) -> DataFrame:
@@ -123,7 +114,7 @@ def read_tables(
     """
     if on_bad not in ("fail", "skip"):
         raise ValueError(f"unknown choice {on_bad!r}")
-    catalogue = _stored(file_headers(spark, path))
+    catalogue = materialised(file_headers(spark, path))[0]
     bad = {r["file"]: r["reason"] for r in catalogue.where("reason is not null").orderBy("file").limit(most_bad_files + 1).collect()}
     if bad and (on_bad == "fail" or len(bad) > most_bad_files):
         raise OSError("; ".join(f"{f}: {r}" for f, r in bad.items()))
@@ -163,7 +154,7 @@ def load_folder(spark: SparkSession, path: str, schema: str | T.StructType, *, m
     rows and counts are read. Rows carry `source_file`.
     """
     fields = _fields(schema)
-    catalogue = _stored(file_headers(spark, path))
+    catalogue = materialised(file_headers(spark, path))[0]
     wanted = F.lit(",".join(f.name.lower() for f in fields))
     given = F.lower(F.replace(F.replace(F.col("header"), F.lit('"'), F.lit("")), F.lit(", "), F.lit(",")))
     reason = F.coalesce("reason", F.when(given != wanted, F.concat(F.lit("header: "), F.col("header"))))
@@ -183,7 +174,7 @@ def load_folder(spark: SparkSession, path: str, schema: str | T.StructType, *, m
         if len(bad) > most_bad_files:
             rows = rows.join(files.where("reason is not null").select(F.col("file").alias("__file")), "__file", "left_anti")
         try:
-            stored = _stored(rows)
+            stored, _ = materialised(rows)
             break
         except (Py4JJavaError, PySparkException) as e:
             at = _unread(e)
