@@ -1,6 +1,6 @@
 """Queries on the driver tables, one module per family."""
 
-from growthlens.queries import jobs, outlook, quality, shaping, timeseries
+from growthlens.queries import files, jobs, outlook, quality, schools, shaping, timeseries
 from growthlens.queries.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "jobs", "outlook", "quality", "shaping", "timeseries"]
+__all__ = ["ORACLES", "QUERIES", "files", "jobs", "outlook", "quality", "schools", "shaping", "timeseries"]

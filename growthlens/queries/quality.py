@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import functions as F
 
 from growthlens.functions import (
@@ -18,9 +21,10 @@ from growthlens.functions import (
     year_of,
     year_start,
 )
-from growthlens.operators import stats
+from growthlens.operators import sketches, stats
 from growthlens.operators.aggregates import rollup
 from growthlens.operators.aggregates import supply_demand as demand_against_supply
+from growthlens.operators.common import join_back
 from growthlens.operators.fills import fill_constant, fill_group_stat, fill_means, fill_median as fill_with_median, repair
 from growthlens.operators.project import (
     complete_rows,
@@ -47,6 +51,7 @@ from growthlens.queries.inputs import (
     whole_cents,
 )
 from growthlens.queries.registry import query
+from growthlens.session import materialised
 
 
 @query(f"""
@@ -372,3 +377,25 @@ def complete_rows_numeric(spark, sf_dir):
     found = numeric_cols(orders, exclude=["o_custkey"])
     aggs = [F.round(F.sum(c) / F.count("*"), 6).alias(c) if c == "o_orderkey" else money_sum(c).alias(c) for c in found]
     return orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"), *aggs).orderBy("o_orderstatus")
+
+
+@query("""
+SELECT o_orderstatus, COUNT(*) AS n, 3 AS n_within, TRUE AS distinct_close FROM orders GROUP BY 1""")
+def sketch_estimates(spark, sf_dir):
+    """Sketches of every month are stored and merged: how many quantiles keep to the bound on their rank, and whether the
+    distinct count keeps to five standard errors."""
+    orders = table(spark, sf_dir, "orders").withColumn("month", F.trunc(F.col("o_orderdate").cast("date"), "MM"))
+    stored, _ = materialised(sketches.sketches(orders, keys=["o_orderstatus", "month"], col="o_totalprice", k=256))
+    probs, names = [0.1, 0.5, 0.9], ["a", "b", "c"]
+    found = sketches.estimates(sketches.merged(stored, keys=["o_orderstatus"]), keys=["o_orderstatus"], probs=probs, names=names)
+    both = join_back(orders.select("o_orderstatus", "o_totalprice"), found, ["o_orderstatus"])
+    share = lambda c: F.avg(c.cast("double"))
+    bound = sketches.rank_error(256)
+    within = [
+        ((share(F.col("o_totalprice") < F.col(n)) - bound <= p) & (p <= share(F.col("o_totalprice") <= F.col(n)) + bound)).cast("int")
+        for p, n in zip(probs, names)
+    ]
+    exact, close = F.count_distinct("o_totalprice"), 5 * sketches.distinct_error()
+    return both.groupBy("o_orderstatus").agg(
+        F.max("n").alias("n"), reduce(add, within).alias("n_within"), (F.abs(F.max("distinct") - exact) <= close * exact).alias("distinct_close")
+    )

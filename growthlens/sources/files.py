@@ -127,8 +127,9 @@ def read_tables(
     fields = T.StructType([T.StructField(f"__c{i}", T.StringType()) for i in range(max(map(len, layouts)))])
     extra = _provenance(with_source, with_ordinal)
     rows = spark.read.schema(fields).csv(path, header=True, quote='"', escape='"')
+    # before rows are numbered, so that the scan leaves these files out unopened
+    rows = rows.where(~F.col("_metadata.file_path").isin(list(bad))) if bad else rows
     rows = rows.select("*", *extra, F.col("_metadata.file_path").alias("__of"))
-    rows = rows.where(~F.col("__of").isin(list(bad))) if bad else rows
     if len(layouts) > 1:
         number = F.array_position(F.array(*[F.lit(h) for h in headers]), F.col("header")) - 1
         rows = rows.join(catalogue.select(F.col("file").alias("__of"), number.alias("__layout")), "__of")

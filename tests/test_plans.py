@@ -276,3 +276,48 @@ def test_pipeline_runs_what_it_has_inputs_for(spark, tmp_path, sheets):
 
 def test_regions_are_complete():
     assert len(REGIONS) == len(set(REGIONS)) == 11
+
+
+def test_pipeline_runs_population_and_education(spark, tmp_path):
+    """All branches but housing, from raw files to forecasts; one folder holds a broken file."""
+    raw, years, geos = tmp_path, range(1990, 2012), ["Ontario", "Quebec"]
+
+    def put(name, header, rows):
+        path = raw / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("\n".join([header, *(",".join(f'"{v}"' for v in r) for r in rows)]) + "\n")
+
+    flows = ["Total PRs", "Total TRs", "Total Births", "Total Deaths", "Population Estimate"]
+    put(pipeline.POPULATION, ",".join(["Year", "Province", *flows]), [(y, g, 10, 5, 8, 4, 1000 + y) for y in years for g in geos])
+    put(pipeline.OFFICIAL, ",".join(["Year", "Province", *flows]), [(y, "Canada", 1, 1, 1, 1, 9000 + y) for y in years])
+    for name, regions in zip(pipeline.AGES, (geos, ["Canada"])):
+        put(name, "REF_DATE,GEO,Gender,Age group,VALUE",
+            [(y, g, s, a, 100) for y in years for g in regions for s in ("Men+", "Women+") for a in ("All ages", "0 to 14 years")])
+    put(pipeline.EDUCATION["educators"], "REF_DATE,GEO,Work status,VALUE",
+        [(f"{y}/{y + 1}", g, s, 100 + y) for y in years for g in geos for s in education.WORK_STATUS])
+    put(pipeline.EDUCATION["education_prices"], "REF_DATE,GEO,Index categories,VALUE",
+        [(y, g, c, y - 1900) for y in years for g in geos for c in education.PRICE_CATEGORIES])
+    put(pipeline.EDUCATION["expenditures"], "REF_DATE,GEO,Type of expenditure,VALUE",
+        [(f"{y}/{y + 1}", g, c, 5000 + y if y % 3 else "..") for y in years for g in geos for c in education.EXPENDITURES])
+    put(pipeline.EDUCATION["graduation_rates"] + "/a.csv", "REF_DATE,GEO,Gender,Graduation rate,VALUE",
+        [(f"{y}/{y + 1}", "Ontario", "Total gender", c, 80) for y in years for c in education.GRADUATION])
+    put(pipeline.EDUCATION["graduation_rates"] + "/b.csv", "GEO,REF_DATE,Graduation rate,Gender,VALUE",
+        [("Quebec", f"{y}/{y + 1}", c, g, 70) for y in years for c in education.GRADUATION for g in ("Total gender", "Men")])
+    (raw / pipeline.EDUCATION["graduation_rates"] / "c.csv.gz").write_bytes(b"no gzip at all")
+    put(pipeline.EDUCATION["participation_rates"] + "/a.csv", f"REF_DATE,GEO,{education.PARTICIPATION_DIMENSIONS[0]},VALUE",
+        [(f"{y}/{y + 1}", g, c, 30) for y in years for g in geos for c in [*education.INSTITUTIONS, "Total participation rate"]])
+    out = str(tmp_path / "out")
+    report = {r.output: (r.status, r.rows) for r in pipeline.run_all(spark, str(raw), out, trees=2, fmt="csv").collect()}
+    made = {k for k, (status, _) in report.items() if status == "generated"}
+    wanted = {"demographics", "population_metrics", *pipeline.EDUCATION, "missing_regions", "education_features", "missing_values",
+              "education_enhanced", "education_forecast"}
+    assert made == wanted
+    people = spark.read.parquet(f"{out}/demographics")
+    national = people.where("Province = 'Canada' and Year = 2000 and Age_Group_Category = 'All Ages'").first()
+    assert (national["Total PRs"], national["Population Estimate"], national["Combined_Population"]) == (20.0, 11000.0, 200.0)
+    assert report["graduation_rates"][1] == 2 * len(years) == report["education_enhanced"][1]
+    missing = {r["column"]: r["missing"] for r in spark.read.parquet(f"{out}/missing_values").collect()}
+    assert missing == {} or all(v < len(years) for v in missing.values())
+    forecast = spark.read.parquet(f"{out}/education_forecast")
+    assert forecast.count() == 2 * 16 and forecast.where("`Total, work status` <= 0").count() == 0
+    assert spark.read.csv(f"{out}/csv/education_enhanced", header=True).count() == 2 * len(years)
