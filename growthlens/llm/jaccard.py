@@ -183,6 +183,46 @@ def _blobs(n: int, frequent):
     return run, "doc long, grams binary"
 
 
+def _bitmaps(n: int, frequent):
+    """Rows (doc, n, bits): the size of each text's set, and a bitmap with four to eight bits for each of its n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.blocks(batch):
+                keys, size = _sets(part, n, frequent.value)
+                hashes, edge = T.mix(keys), np.concatenate(([0], np.cumsum(size)))
+                maps = []
+                for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    bits = np.zeros(1 << max(6, (4 * (j - i)).bit_length()), dtype=bool)
+                    bits[hashes[i:j] & np.uint64(len(bits) - 1)] = True
+                    maps.append(np.packbits(bits, bitorder="little").tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(maps, pa.binary())], ["doc", "n", "bits"])
+
+    return run, "doc long, n long, bits binary"
+
+
+def _possible(percent: int):
+    """Keeps the pairs whose sets may reach the similarity: an n-gram whose bit the other map lacks is not shared."""
+
+    def folded(bits: np.ndarray, size: int) -> np.ndarray:
+        return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, dtype=bool)
+            columns = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")]
+            for i, (m, k, x, y) in enumerate(zip(*columns)):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                least = min(len(x), len(y))
+                x, y = folded(x, least), folded(y, least)
+                most = min(m - int(np.bitwise_count(x & ~y).sum()), k - int(np.bitwise_count(y & ~x).sum()))
+                good[i] = most * (100 + percent) >= percent * (m + k)
+            keep = pa.array(np.flatnonzero(good))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
+
+    return run, "a long, b long"
+
+
 def _suffix_rules_out(x: np.ndarray, y: np.ndarray, most: int, depth: int = 2) -> bool:
     """Whether the sets differ in more than `most` n-grams for sure: halves around a pivot differ by their sizes at least."""
 
@@ -362,15 +402,26 @@ def _across(open_: DataFrame, percent: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, frequent) -> DataFrame:
-    """The pairs (a, b) that reach the similarity. Sets are made again for the texts of candidates only."""
-    ids = kept(pairs.select("a").union(pairs.select("b")).distinct())
-    wanted = texts.join(small_or_any(ids.withColumnRenamed("a", "doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
+    """The pairs (a, b) that reach the similarity. Bitmaps of the sets, a sixteenth of their size at most, rule out most
+    of the others first; whole sets are made again for the texts of the pairs that are left."""
+
+    def of_candidates(pairs: DataFrame) -> DataFrame:
+        ids = kept(pairs.select("a").union(pairs.select("b")).distinct())
+        return texts.join(small_or_any(ids.withColumnRenamed("a", "doc_id"), BROADCAST_IDS), "doc_id", "left_semi").select("doc_id", "text")
+
+    def both(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        for end in "ab":
+            pairs = pairs.join(of.select(*[F.col(c).alias(end if c == "doc" else f"{c}_{end}") for c in of.columns]), end)
+        return pairs
+
+    run, schema = _bitmaps(n, frequent)
+    bits = kept(of_candidates(pairs).mapInArrow(run, schema).dropDuplicates(["doc", "n", "bits"]))
+    run, schema = _possible(percent)
+    left = kept(both(pairs, bits).select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, schema).distinct())
     run, schema = _blobs(n, frequent)
-    sets = wanted.select("doc_id", "text").mapInArrow(run, schema)
-    one = pairs.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("grams_a")), "a")
-    two = one.join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("grams_b")), "b")
+    sets = of_candidates(left).mapInArrow(run, schema)
     run, schema = _verified(percent)
-    return two.select("a", "b", "grams_a", "grams_b").mapInArrow(run, schema).distinct()
+    return both(left, sets).select("a", "b", "grams_a", "grams_b").mapInArrow(run, schema).distinct()
 
 
 def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
