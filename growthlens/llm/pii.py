@@ -1,10 +1,10 @@
 """Personal data in texts: candidate spans, boosted trees over format and context, calibrated thresholds.
 
 SQL functions only. Base spans follow fixed rules per kind. Two generators with high recall propose further spans that
-may overlap: anything around an @, and runs of digits with separators. Boosted trees, trained by Spark ML on a bounded
-sample with the base rules as labels, score each proposal; they see its shape and what stands around it, not the rule.
-Per kind, a threshold is calibrated on the other half of the sample; proposals above it that touch no base span are
-added. The trees are applied as column expressions, so a text is scored in place, without a shuffle.
+may overlap: anything around an @, and runs of digits with separators. Boosted trees, trained by Spark ML on the
+proposals of all texts with the base rules as labels, score each proposal; they see its shape and what stands around it,
+not the rule. One half of the texts trains the trees, on the other half a threshold is calibrated per kind; proposals
+above it that touch no base span are added. The trees are applied as column expressions, so a text is scored in place, without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from growthlens.llm.shared import kept
+
 # What each kind looks like. Possessive repeats and the marks in front of a run keep matching linear on
 # long texts; they accept the same spans as the plain patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -186,37 +188,35 @@ def _touches(spans: Column, begin: Column, stop: Column) -> Column:
     return F.exists(spans, lambda s: (s["begin"] < stop) & (s["stop"] > begin))
 
 
-def train(docs: DataFrame, *, sample_rows: int = 10_000, rounds: int = 8, depth: int = 3, precision: float = 0.99) -> Trees:
-    """Trees from about `sample_rows` rows chosen by a hash of the id. A proposal counts as personal data if it is a base
-    span. Every kind gets the least threshold at which proposals of the second half reach `precision`; none of a kind is
-    accepted if no threshold does, or if the sample has only one class."""
+def train(docs: DataFrame, *, rounds: int = 8, depth: int = 3, precision: float = 0.99) -> Trees:
+    """Trees from all rows. A proposal counts as personal data if it is a base span. The trees learn from the proposals of
+    one half of the ids, by a hash; every kind gets the least threshold at which those of the other half reach
+    `precision`. None of a kind is accepted if no threshold does, or if the first half has only one class.
+
+    Equal proposals are counted before the shuffle and weighted by their number, so what the trees read grows with the
+    number of different shapes. Null texts propose nothing.
+    """
+    text = F.col("text")
+    spans = docs.where(text.rlike("[0-9@]")).select("doc_id", base_spans(text).alias("base"), proposals(text).alias("proposed"))
+
+    def labelled(p: Column) -> Column:
+        same = F.exists("base", lambda s: (s["begin"] == p["begin"]) & (s["stop"] == p["stop"]))
+        return F.struct(same.cast("double").alias("label"), p["order"].alias("order"), p["features"].alias("features"))
+
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half")
+    each = spans.select(half, F.explode(F.transform("proposed", labelled)).alias("p")).select("half", "p.*")
+    counted = kept(each.groupBy("half", "label", "order", "features").agg(F.count("*").cast("double").alias("times")))
+    names = [f"f{i}" for i in range(len(FEATURES))]
+    first = counted.where("half = 0").select("label", "features", "times", *(F.get("features", F.lit(i)).alias(x) for i, x in enumerate(names)))
     never = Trees([], [2.0] * len(CLASSES))
-    total = docs.count()
-    if not total:
+    if first.select("label").distinct().count() < 2:
         return never
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / (1 << 20)
-    rows = docs.where(F.col("text").isNotNull() & (chance < min(1.0, sample_rows / total))).select("doc_id", "text")
-    spans = rows.select("doc_id", base_spans(F.col("text")).alias("base"), proposals(F.col("text")).alias("proposed"))
-    each = spans.select("doc_id", "base", F.explode("proposed").alias("p"))
-    same = F.exists("base", lambda s: (s["begin"] == F.col("p.begin")) & (s["stop"] == F.col("p.stop")))
-    flat = each.select(
-        F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half"),
-        same.cast("double").alias("label"),
-        F.col("p.order").alias("order"),
-        F.col("p.features").alias("features"),
-        *(F.get("p.features", F.lit(i)).alias(f"f{i}") for i in range(len(FEATURES))),
-    ).persist()
-    try:
-        first = flat.where("half = 0")
-        if first.select("label").distinct().count() < 2:
-            return never
-        assembled = VectorAssembler(inputCols=[f"f{i}" for i in range(len(FEATURES))], outputCol="vector").transform(first)
-        model = GBTClassifier(featuresCol="vector", maxIter=rounds, maxDepth=depth, seed=7, checkpointInterval=-1).fit(assembled)
-        trees = Trees([(float(w), _tree(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)], never.thresholds)
-        bins = flat.where("half = 1").select("order", "label", F.floor(trees.score(F.col("features")) * 100).alias("bin"))
-        counts = bins.groupBy("order", "bin").agg(F.sum("label").alias("good"), F.count("*").alias("all")).collect()
-    finally:
-        flat.unpersist()
+    assembled = VectorAssembler(inputCols=names, outputCol="vector").transform(first)
+    fitter = GBTClassifier(featuresCol="vector", weightCol="times", maxIter=rounds, maxDepth=depth, seed=7, checkpointInterval=-1)
+    model = fitter.fit(assembled)
+    trees = Trees([(float(w), _tree(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)], never.thresholds)
+    bins = counted.where("half = 1").select("order", "label", "times", F.floor(trees.score(F.col("features")) * 100).alias("bin"))
+    counts = bins.groupBy("order", "bin").agg(F.sum(F.col("label") * F.col("times")).alias("good"), F.sum("times").alias("all")).collect()
     for order in range(len(CLASSES)):
         good = total = 0
         for row in sorted((r for r in counts if r["order"] == order), key=lambda r: -r["bin"]):

@@ -69,6 +69,17 @@ def test_base_spans_equal_plain_patterns(documents):
     assert pii.find(docs.limit(0), pii.train(docs.limit(0))).count() == 0
 
 
+def test_personal_data_is_learned_from_all_rows(documents, monkeypatch):
+    texts = [f"call +49 30 {1000000 + 37 * i} or write to a{i}@b.org, item {i}-{i}" if i % 3 else f"no. {i}" for i in range(300)]
+    held, keep = [], pii.kept
+    monkeypatch.setattr(pii, "kept", lambda df: held.append(keep(df)) or held[-1])
+    docs = documents(texts, [i * 7 for i in range(300)])
+    assert pii.train(docs).trees
+    said = docs.select(pii.proposals(F.col("text")).alias("p")).collect()
+    assert held[0].agg(F.sum("times")).first()[0] == sum(len(r.p) for r in said) > 600
+    assert held[0].select("half").distinct().count() == 2 and held[0].count() < 600
+
+
 def test_languages(documents):
     words = {"aa": "lorem ipsum dolor sit amet consectetur", "bb": "ktory bylby najwiekszy przykladem zeby"}
     texts = [" ".join(np.random.default_rng(i).permutation(words["ab"[i % 2] * 2].split())) for i in range(60)]
