@@ -1,7 +1,8 @@
 """Language-model scores: a causal self-attention model over subword ids, next to a unigram base over words.
 
-The attention model has one layer and is trained in numpy on a bounded sample. It predicts the class of the next subword;
-within a class, subwords have their smoothed shares. Texts are scored in overlapping windows: each window predicts the
+The attention model has one layer. Its weights come from one pass over all training texts: tasks start from the same
+weights, which a few texts have given, take steps on all their windows in numpy, and their weights are averaged. It
+predicts the class of the next subword; within a class, subwords have their smoothed shares, counted in all these texts. Texts are scored in overlapping windows: each window predicts the
 last part of its positions and sees the part before as context, so every subword is scored once. Windows run in batches
 under a causal mask.
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from growthlens.llm import tokens
 from growthlens.llm.bpe import Vocabulary, gather, merge
 from growthlens.llm.crf import Adam
-from growthlens.llm.shared import kept, most_frequent
+from growthlens.llm.shared import averaged, kept, most_frequent
 
 #: Positions a window predicts, and positions of context before them.
 STRIDE, CONTEXT = 24, 8
@@ -30,6 +31,8 @@ WINDOW = STRIDE + CONTEXT
 WIDTH, CLASSES, UNITS = 16, 64, 2048
 #: Windows worked on at a time; their weights should fit into a core's cache.
 WINDOWS = 256
+#: Step size of the pass over all texts at its begin.
+FIRST_RATE = 0.004
 #: Word counts that every task gets: 16 bytes each; the counts of all other words are joined.
 MOST_FREQUENT = 1 << 18
 #: Words counted together before the counts are shuffled.
@@ -190,11 +193,55 @@ class Attention:
         return total
 
 
-def fit(texts: list[np.ndarray], vocabulary: int, marker: int, *, steps: int = 250, batch: int = 96, seed: int = 3) -> Attention:
-    """An attention model from the subword ids of some texts. Without texts it is the untrained, uniform one."""
+def _loss_gradients(w: dict[str, np.ndarray], u: np.ndarray, target: np.ndarray, real: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Gradients of the mean log probability of the targets (classes) behind the units u; both have one window a row.
+
+    real: which positions count, all by default.
+    """
+    reach = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+    masked = reach < 0
+    scale = w["embed"].dtype.type(1 / np.sqrt(WIDTH))
+    x = w["embed"][u]
+    q, k, v = x @ (w["query"] * scale), x @ w["key"], x @ w["value"]
+    p = q @ k.transpose(0, 2, 1)
+    p += np.where(masked, p.dtype.type(-1e9), w["near"][np.maximum(reach, 0)])
+    p -= p.max(axis=2, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(axis=2, keepdims=True)
+    h = (p @ v + x).reshape(-1, WIDTH)
+    y = h @ w["out"] + w["bias"]
+    y -= y.max(axis=1, keepdims=True)
+    np.exp(y, out=y)
+    # backwards; the sign is that of ascent
+    n = target.size if real is None else max(int(real.sum()), 1)
+    y /= y.sum(axis=1, keepdims=True) * -n
+    y[np.arange(len(y)), target.ravel()] += y.dtype.type(1 / n)
+    if real is not None:
+        y *= real.reshape(-1, 1)
+    dh = (y @ w["out"].T).reshape(x.shape)
+    ds = dh @ v.transpose(0, 2, 1)
+    ds -= (ds * p).sum(axis=2, keepdims=True)
+    ds *= p
+    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, p.transpose(0, 2, 1) @ dh
+    dx = dh + dq @ (w["query"].T * scale) + dk @ w["key"].T + dv @ w["value"].T
+    by = lambda a, b: a.reshape(-1, a.shape[-1]).T @ b.reshape(-1, b.shape[-1])
+    d = {"query": by(x, dq) * scale, "key": by(x, dk), "value": by(x, dv), "out": by(h, y), "bias": y.sum(axis=0)}
+    d["embed"] = np.stack([np.bincount(u.ravel(), weights=dx[..., j].ravel(), minlength=UNITS) for j in range(WIDTH)], axis=1)
+    d["near"] = np.bincount(np.maximum(reach, 0).ravel(), weights=np.where(masked, 0, ds.sum(axis=0)).ravel(), minlength=WINDOW)
+    return d
+
+
+def fit(
+    texts: list[np.ndarray], vocabulary: int, marker: int, *, counts: np.ndarray | None = None, steps: int = 250, batch: int = 96, seed: int = 3
+) -> Attention:
+    """An attention model from the subword ids of some texts. Without texts it is the untrained, uniform one.
+
+    counts: how often each id occurs, if more than these texts are counted; units, classes and shares follow from it.
+    """
     rng = np.random.default_rng(seed)
     flat = np.concatenate([np.concatenate(([marker], t)) for t in texts] + [[marker]]).astype(np.int64)
-    counts = np.bincount(flat, minlength=vocabulary)
+    if counts is None:
+        counts = np.bincount(flat, minlength=vocabulary)
     order = np.argsort(-counts, kind="stable")
     unit, kind = np.empty(vocabulary, np.int64), np.empty(vocabulary, np.int64)
     unit[order] = np.where(np.arange(vocabulary) < UNITS // 2, np.arange(vocabulary), UNITS // 2 + np.arange(vocabulary) % (UNITS // 2))
@@ -204,7 +251,7 @@ def fit(texts: list[np.ndarray], vocabulary: int, marker: int, *, steps: int = 2
     smooth = counts + 0.1
     share = np.log(smooth / np.bincount(kind, weights=smooth, minlength=CLASSES)[kind])
     small = lambda *shape: rng.normal(0, 0.1, shape)
-    held = np.bincount(kind[flat], minlength=CLASSES) + 1.0
+    held = np.bincount(kind, weights=counts, minlength=CLASSES) + 1.0
     w = {
         "embed": small(UNITS, WIDTH), "query": small(WIDTH, WIDTH), "key": small(WIDTH, WIDTH), "value": small(WIDTH, WIDTH),
         "out": small(WIDTH, CLASSES), "bias": np.log(held / held.sum()), "near": np.zeros(WINDOW),
@@ -213,36 +260,66 @@ def fit(texts: list[np.ndarray], vocabulary: int, marker: int, *, steps: int = 2
     if len(flat) <= WINDOW + 1:
         return model
     names, adam = list(w), Adam(*w.values(), rate=0.02)
-    reach = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-    masked = reach < 0
     for step in range(steps):
         adam.rate = 0.02 * (1 - step / steps) + 0.001
         at = rng.integers(0, len(flat) - WINDOW, batch)[:, None] + np.arange(WINDOW + 1)
-        u, target = unit[flat[at[:, :-1]]], kind[flat[at[:, 1:]]]
-        x = w["embed"][u]
-        q, k, v = x @ w["query"] / np.sqrt(WIDTH), x @ w["key"], x @ w["value"]
-        s = np.where(masked, -1e9, q @ k.transpose(0, 2, 1) + w["near"][np.maximum(reach, 0)])
-        p = np.exp(s - s.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        h = p @ v + x
-        logits = h @ w["out"] + w["bias"]
-        y = np.exp(logits - logits.max(axis=2, keepdims=True))
-        y /= y.sum(axis=2, keepdims=True)
-        # backwards; the sign is that of ascent on the mean log probability
-        dy = (np.eye(CLASSES)[target] - y) / target.size
-        dh = dy @ w["out"].T
-        dp = dh @ v.transpose(0, 2, 1)
-        ds = p * (dp - (dp * p).sum(axis=2, keepdims=True))
-        dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, p.transpose(0, 2, 1) @ dh
-        dx = dh + dq @ w["query"].T / np.sqrt(WIDTH) + dk @ w["key"].T + dv @ w["value"].T
-        by = lambda a, b: a.reshape(-1, a.shape[-1]).T @ b.reshape(-1, b.shape[-1])
-        d = {"query": by(x, dq) / np.sqrt(WIDTH), "key": by(x, dk), "value": by(x, dv), "out": by(h, dy), "bias": dy.sum(axis=(0, 1))}
-        d["embed"] = np.stack([np.bincount(u.ravel(), weights=dx[..., j].ravel(), minlength=UNITS) for j in range(WIDTH)], axis=1)
-        d["near"] = np.bincount(np.maximum(reach, 0).ravel(), weights=np.where(masked, 0, ds.sum(axis=0)).ravel(), minlength=WINDOW)
+        d = _loss_gradients(w, unit[flat[at[:, :-1]]], kind[flat[at[:, 1:]]])
         adam.step(*(d[n] for n in names))
     return model
 
 
+def learn_all(encoded: DataFrame, start: Attention, dtype: np.dtype) -> Attention:
+    """The model after one pass over all texts (column ids), from the weights of `start`.
+
+    Every task takes steps on all windows of its texts, which follow each other with the marker between them, and the
+    weights of the tasks are averaged by their numbers of windows. Within a task the step size falls with the root of
+    the steps. A task holds one batch of ids.
+    """
+    names = list(start.weights)
+    shared = encoded.sparkSession.sparkContext.broadcast(start)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], float]:
+        model = shared.value
+        w = {n: model.weights[n].astype(np.float32) for n in names}
+        adam, windows = Adam(*w.values(), rate=FIRST_RATE), 0
+
+        def steps(flat: np.ndarray, real: np.ndarray | None = None) -> int:
+            n = (len(flat) - 1) // WINDOW
+            unit, kind = model.unit[flat[: n * WINDOW]].reshape(n, WINDOW), model.kind[flat[1 : n * WINDOW + 1]].reshape(n, WINDOW)
+            for i in range(0, n, WINDOWS):
+                adam.rate = FIRST_RATE / np.sqrt(1 + adam.turn / 50)
+                d = _loss_gradients(w, unit[i : i + WINDOWS], kind[i : i + WINDOWS], real)
+                adam.step(*(d[k].astype(np.float32) for k in names))
+            return n
+
+        rest = np.full(1, model.marker)
+        for batch in batches:
+            for part in tokens.blocks(batch, "ids"):
+                data, offsets = tokens.text_bytes(part.column("ids"))
+                ids = np.frombuffer(data.tobytes(), dtype)
+                end = offsets[1:] // np.dtype(dtype).itemsize
+                rest = np.concatenate((rest, np.insert(ids.astype(np.int64), end, model.marker)))
+                whole = (len(rest) - 1) // (WINDOW * WINDOWS) * WINDOW * WINDOWS
+                if whole:
+                    windows += steps(rest[: whole + 1])
+                    rest = rest[whole:]
+        most = (len(rest) - 1) // WINDOW * WINDOW
+        if most:
+            windows += steps(rest[: most + 1])
+        if len(rest) - 1 > most:  # the last window is shorter
+            last = rest[most:]
+            real = np.arange(WINDOW) < len(last) - 1
+            windows += steps(np.concatenate((last, np.full(WINDOW + 1 - len(last), model.marker))), real.astype(np.float32)[None])
+        return list(w.values()), float(windows)
+
+    found = averaged(encoded.select("ids"), learn)
+    if found is None:
+        return start
+    edges = np.cumsum([start.weights[n].size for n in names])[:-1]
+    weights = {n: x.reshape(start.weights[n].shape) for n, x in zip(names, np.split(found, edges))}
+    return Attention(start.unit, start.kind, start.share, start.marker, weights)
+
+
 def _words(part: pa.RecordBatch, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, in order, and the number of words per text."""
     data, offsets = tokens.text_bytes(part.column(text))
@@ -273,28 +350,62 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word long, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def scores(docs: DataFrame, trained: Column, tokenizer_path: str, *, sample_rows: int = 400, most_chars: int = 100_000) -> DataFrame:
+def id_counts(encoded: DataFrame, dtype: np.dtype, vocabulary: int) -> np.ndarray:
+    """How often each id occurs in the texts (column ids); one row per id of the vocabulary reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(vocabulary, np.int64)
+        for batch in batches:
+            for part in tokens.blocks(batch, "ids"):
+                count += np.bincount(np.frombuffer(tokens.text_bytes(part.column("ids"))[0].tobytes(), dtype), minlength=vocabulary)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["id", "count"])
+
+    total = encoded.select("ids").mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).toArrow()
+    out = np.zeros(vocabulary, np.int64)
+    out[total.column("id").to_numpy()] = total.column("count").to_numpy()
+    return out
+
+
+def scores(docs: DataFrame, trained: Column, tokenizer_path: str, *, first_rows: int = 400, most_chars: int = 100_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens long, base_score, score double): one row per input row.
 
-    docs: doc_id, text; the base counts all rows for which `trained` holds, the attention model is trained on about
-    `sample_rows` of them, chosen by a hash of the id, of at most `most_chars` characters each. Null texts count as
-    empty: a text without words is its end alone. Without training rows all words are unknown and the model is uniform.
+    docs: doc_id, text; the base and the attention model learn from all rows for which `trained` holds. Null texts count
+    as empty: a text without words is its end alone. Without training rows all words are unknown and the model is uniform.
+
+    About `first_rows` of these rows, chosen by a hash of the id, of at most `most_chars` characters each, only give the
+    weights from which all tasks start. Subword ids are made once and stored beside the texts.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(trained, F.lit(False)).alias("trained"))
-    counts = kept(word_counts(docs.where("trained")))
-    n, v = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     vocabulary = Vocabulary(tokenizer_path)
+    size = len(vocabulary.piece_size)
     marker = max(vocabulary.added.values(), default=0)
-    rows = docs.where("trained").select("doc_id", "text")
+    dtype = np.dtype(np.uint16 if size <= 1 << 16 else np.int32)
+    shared_vocabulary = spark.sparkContext.broadcast(vocabulary)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tokens.blocks(batch):
+                ids, n = _encoder(shared_vocabulary).encode(part.column("text"))
+                flat, edge = ids.astype(dtype).tobytes(), np.concatenate(([0], np.cumsum(n))) * dtype.itemsize
+                packed = pa.array([flat[i:j] for i, j in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, packed], [*part.schema.names, "ids"])
+
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(trained, F.lit(False)).alias("trained"))
+    docs = kept(given.mapInArrow(encode, "doc_id long, text string, trained boolean, ids binary"))
+    rows = docs.where("trained")
+    counts = kept(word_counts(rows))
+    n, v = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    n_rows = rows.count()
     chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
-    picked = rows.where((chance < min(1.0, sample_rows / max(rows.count(), 1))) & (F.length("text") <= most_chars)).limit(2 * sample_rows)
-    texts = picked.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]).column("text").to_pylist()
-    ids, size = BatchEncoder(vocabulary).encode(pa.array(texts, pa.large_string()))
-    model = fit(np.split(ids, np.cumsum(size)[:-1]) if texts else [], len(vocabulary.piece_size), marker)
+    picked = rows.where((chance < min(1.0, first_rows / max(n_rows, 1))) & (F.length("text") <= most_chars)).limit(2 * first_rows)
+    first = picked.select("doc_id", "ids").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")]).column("ids").to_pylist()
+    occur = id_counts(rows, dtype, size)
+    occur[marker] += n_rows + 1
+    start = fit([np.frombuffer(x, dtype) for x in first], size, marker, counts=occur)
+    model = learn_all(rows, start, dtype)
 
     words, known = most_frequent(counts.withColumnRenamed("word", "key"), MOST_FREQUENT)
-    shared_vocabulary = spark.sparkContext.broadcast(vocabulary)
     shared = spark.sparkContext.broadcast((model, tokens.HashIndex(words.view(np.uint64), bits=22), np.append(known, 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +413,8 @@ def scores(docs: DataFrame, trained: Column, tokenizer_path: str, *, sample_rows
         model, index, count = shared.value
         for batch in batches:
             for part in tokens.blocks(batch, "text", 4 << 20):
-                ids, size = _encoder(shared_vocabulary).encode(part.column("text"))
+                data, offsets = tokens.text_bytes(part.column("ids"))
+                ids, size = np.frombuffer(data.tobytes(), dtype), np.diff(offsets) // dtype.itemsize
                 probability = model.log_probability(ids, size) / np.log(10)
                 hashes, n_words = _words(part)
                 row = np.repeat(np.arange(part.num_rows), n_words)
@@ -333,7 +445,7 @@ def scores(docs: DataFrame, trained: Column, tokenizer_path: str, *, sample_rows
                     ["doc_id", "text_hash", "word", "whole", "n", "known", "logs", "probability"],
                 )
 
-    given = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    given = docs.select("doc_id", "text", "ids", F.xxhash64("text").alias("text_hash"))
     parts = given.mapInArrow(run, "doc_id long, text_hash long, word long, whole boolean, n long, known long, logs double, probability double")
     counted = counts.select(F.col("word").alias("w"), F.col("count").alias("c"))
     met = parts.join(counted, (F.col("word") == F.col("w")) & ~F.col("whole"), "left")

@@ -131,6 +131,49 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, trained, mos
     return texts.join(small_or_any(kept(some), 4 * most_rows), "doc_id")
 
 
+#: Weights that travel in one row.
+CHUNK = 1024
+
+
+def averaged(rows: DataFrame, learn):
+    """The weights that the tasks have learned from their rows, averaged, as one flat numpy array; None without any.
+
+    learn(record batches) returns a list of arrays, of the same shapes in all tasks, and how much they count. Chunks of
+    them are shuffled and summed, so that one set of weights reaches the driver however many tasks there are.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    names = ["chunk", "amount", "weights"]
+
+    def row(chunk, amount, weights):
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([amount], pa.float64()), pa.array([weights.tobytes()], pa.binary())], names)
+
+    def run(batches):
+        arrays, amount = learn(batches)
+        if amount > 0:
+            flat = np.concatenate([x.ravel() for x in arrays]).astype(np.float64)
+            for i in range(0, len(flat), CHUNK):
+                yield row(i // CHUNK, amount, flat[i : i + CHUNK])
+
+    def mean(batches):
+        now, total, mass = None, None, 0.0
+        for batch in batches:
+            for chunk, amount, weights in zip(*(batch.column(n).to_pylist() for n in names)):
+                if chunk != now:
+                    if now is not None:
+                        yield row(now, mass, total / mass)
+                    now, total, mass = chunk, 0.0, 0.0
+                total, mass = total + amount * np.frombuffer(weights), mass + amount
+        if now is not None:
+            yield row(now, mass, total / mass)
+
+    schema = "chunk int, amount double, weights binary"
+    sent = rows.mapInArrow(run, schema).repartition("chunk").sortWithinPartitions(*names)
+    found = sent.mapInArrow(mean, schema).toArrow().sort_by("chunk").column("weights").to_pylist()
+    return np.concatenate([np.frombuffer(x) for x in found]) if found else None
+
+
 def logistic(x, y, *, rounds: int = 60, ridge: float = 1e-2):
     """Weights, the intercept last, of a ridge logistic regression by Newton steps; numpy arrays of bounded samples."""
     import numpy as np

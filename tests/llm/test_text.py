@@ -11,6 +11,7 @@ from conftest_llm import prose
 from pyspark.sql import functions as F
 
 from growthlens.llm import bpe, decontaminate, langid, licenses, lm, pii, quality, toxicity, topk
+from growthlens.llm.shared import averaged
 
 TOKENIZER = os.environ.get("TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.json"
 ODD = [None, "", " ", "\n\n", "a" * 5000, "é語🙂 'll don't <|endoftext|> x", "one", prose(3, 2000), prose(3, 2000), "\t1.2.3.4 　x\x1cy"]
@@ -178,6 +179,34 @@ def test_attention_windows_score_each_id_once():
     assert model.log_probability(ids, np.array([200]))[0] == pytest.approx(one[0], rel=1e-5)
 
 
+def test_attention_learns_from_all_rows(documents, monkeypatch):
+    docs = documents([prose(i % 40, 200) for i in range(600)]).repartition(3)
+    counted = []
+    count = lm.id_counts
+    monkeypatch.setattr(lm, "id_counts", lambda *a: counted.append(count(*a)) or counted[-1])
+    learned = {r.doc_id: r.score for r in lm.scores(docs, F.col("doc_id") % 3 != 2, TOKENIZER, first_rows=0).collect()}
+    encoder = lm.BatchEncoder(lm.Vocabulary(TOKENIZER))
+    ids, _ = encoder.encode(lm.pa.array([prose(i % 40, 200) for i in range(600) if i % 3 != 2], lm.pa.large_string()))
+    own = np.bincount(ids, minlength=len(counted[0]))
+    own[max(encoder.vocabulary.added.values(), default=0)] += 401
+    assert (counted[0] == own).all()
+    # no text is drawn for the first weights: what is better than them was learned from the rows
+    monkeypatch.setattr(lm, "learn_all", lambda encoded, start, dtype: start)
+    before = {r.doc_id: r.score for r in lm.scores(docs, F.col("doc_id") % 3 != 2, TOKENIZER, first_rows=0).collect()}
+    assert sum(learned.values()) > sum(before.values()) + 600
+
+
+def test_weights_are_averaged_by_what_they_count(spark):
+    def learn(batches):
+        x = np.array([v for b in batches for v in b.column("x").to_pylist()], dtype=float)
+        return [np.full((2, 1000), x.mean() if len(x) else 0.0), np.arange(500.0)], float(len(x))
+
+    rows = spark.createDataFrame([(float(i),) for i in range(20)], "x double")
+    got = averaged(rows.repartition(3), learn)
+    assert got == pytest.approx(np.concatenate((np.full(2000, 9.5), np.arange(500.0))))
+    assert averaged(rows.limit(0), learn) is None
+
+
 def test_blocks_without_a_word(spark):
     texts = [(i, t, "en") for i, t in enumerate(["!!! ???", "", None, " 1 2 ", "\n"] * 4)]
     model = langid.fit(["the cat sat on the mat", "le chat est sur la table"], ["en", "fr"])
