@@ -9,7 +9,8 @@ vectors, cells are joined independently, and each link is counted once from eith
 Within a cell, vectors closer than r / 2 to the pivot (its core) are all linked with each other, again by the triangle
 inequality: they are counted, not compared, so that a huge group of near copies costs no more than its size. Core and
 ring meet only those within 1.5 r of the pivot, or any. All other comparisons are dealt out in blocks of fixed size,
-and a block answers with counts and a spanning forest, never with its pairs.
+and a block answers with counts and a spanning forest, never with its pairs. Within a block, the components that vary
+most and the length of the rest bound a cosine from above; where this rules out most pairs, only the others are compared.
 
 How much the cells prune depends on the data: in directions without any structure a distance of r says little about the
 distance to a pivot, so most cells overlap and the comparisons come close to all pairs, still in blocks.
@@ -29,8 +30,10 @@ from growthlens.llm.shared import components, kept
 
 #: Vectors wanted in a cell, cells at most, vectors of a cell in a block and others that a block streams past them.
 CELL, MOST_PIVOTS, SHARD, STREAM = 4096, 1024, 4096, 65_536
-#: Rounding room of distances between unit vectors.
-ROOM = 1e-9
+#: Rounding room of distances between unit vectors, and of cosines in single precision.
+ROOM, SHORT_ROOM = 1e-9, 1e-5
+#: Own vectors whose bounds are worked out together; one pair in so many may pass them, else all cosines are taken.
+TILE, FEW = 512, 32
 #: Parts of a cell by place: core, ring within reach of the core, rest of the ring, guests within reach, other guests;
 #: what each of the first three is compared with.
 MEETS = ((1, 3), (0, 1, 2, 3, 4), (1, 2, 3, 4))
@@ -167,16 +170,59 @@ class Block:
         self.node, self.leader, self.raw, self.unit, self.cosine = node, leader, vectors, units(vectors), cosine
         self.links = np.zeros(len(node), np.int64)
         self.group = np.arange(len(node))
+        self.axes = np.argsort(-self.unit.var(axis=0), kind="stable")
+        self.short = self._shortened(self.unit)
+
+    def _shortened(self, u: np.ndarray) -> np.ndarray:
+        """The components along which this block varies most, and the length of the rest: the products of two such rows
+        are never below those of the whole ones."""
+        some = max(1, u.shape[1] // 3)
+        rest = u[:, self.axes[some:]]
+        return np.column_stack((u[:, self.axes[:some]], np.sqrt((rest * rest).sum(axis=1)))).astype(np.float32)
+
+    def _possible(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Pairs (own, other) that may be linked, by their shortened rows; None if these rule out too few."""
+        short, found = self._shortened(u).T, []
+        for i in range(0, len(self.short), TILE):
+            tile = self.short[i : i + TILE] @ short
+            at = np.flatnonzero(tile >= np.float32(self.cosine - SHORT_ROOM))
+            if len(at) * FEW > tile.size:
+                return None
+            own, other = np.divmod(at, len(u))
+            found.append((own + i, other))
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def _cosines(self, u: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        step = 1 << 15
+        each = [np.einsum("ij,ij->i", self.unit[own[i : i + step]], u[other[i : i + step]]) for i in range(0, len(own), step)]
+        return np.concatenate(each) if each else np.zeros(0)
+
+    def _linked(self, node: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs (own, other), by other and own."""
+        u = units(vectors)
+        possible = self._possible(u)
+        if possible is None:
+            cosines = self.unit @ u.T
+            close = np.nonzero(np.abs(cosines - self.cosine) < 1e-12)
+        else:
+            own, other = possible
+            cosines = self._cosines(u, own, other)
+            close = np.flatnonzero(np.abs(cosines - self.cosine) < 1e-12)
+        for at in zip(*close) if possible is None else close:
+            i, j = at if possible is None else (own[at], other[at])
+            a, b = self.raw[i] / np.abs(self.raw[i]).max(), vectors[j] / np.abs(vectors[j]).max()
+            cosines[at] = (a @ b) / np.sqrt((a @ a) * (b @ b))
+        if possible is None:
+            return np.nonzero(((cosines >= self.cosine) & (self.node[:, None] != node[None])).T)[::-1]
+        good = (cosines >= self.cosine) & (self.node[own] != node[other])
+        own, other = own[good], other[good]
+        order = np.lexsort((own, other))
+        return own[order], other[order]
 
     def meet(self, node: np.ndarray, leader: np.ndarray, vectors: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count others of these vectors; returns links of leaders (own, other), one for each other vector that has any."""
-        cosines = self.unit @ units(vectors).T
-        for i, j in zip(*np.nonzero(np.abs(cosines - self.cosine) < 1e-12)):
-            a, b = self.raw[i] / np.abs(self.raw[i]).max(), vectors[j] / np.abs(vectors[j]).max()
-            cosines[i, j] = (a @ b) / np.sqrt((a @ a) * (b @ b))
-        linked = (cosines >= self.cosine) & (self.node[:, None] != node[None])
-        self.links += linked @ weight
-        own, other = np.nonzero(linked.T)[::-1]
+        own, other = self._linked(node, vectors)
+        np.add.at(self.links, own, weight[other])
         if not len(own):
             return own, other
         change = np.flatnonzero(np.diff(other, prepend=-1))

@@ -79,6 +79,32 @@ def test_cells_hold_every_neighbour():
     assert len(row) < 400 * 11 / 2  # most cells are not visited
 
 
+@pytest.mark.parametrize("width", [1, 2, 5, 64])
+@pytest.mark.parametrize("few", [0, 32, 10**9])
+def test_bounds_in_blocks_lose_no_link(monkeypatch, width, few):
+    monkeypatch.setattr(rangejoin, "FEW", few)
+    rng = np.random.default_rng(width)
+    a = rng.standard_normal((700, width))
+    b = np.concatenate((a[:300] + 0.2 * rng.standard_normal((300, width)), rng.standard_normal((400, width)), a[:5]))
+    weight, node = rng.integers(1, 5, len(b)), np.arange(len(b)) + 10_000
+    node[-5:] = np.arange(5)  # the same nodes don't link with themselves
+    block = rangejoin.Block(np.arange(len(a)), np.arange(len(a)), a, 0.95)
+    own, other = block.meet(node, node, b, weight)
+    linked = (rangejoin.units(a) @ rangejoin.units(b).T >= 0.95) & (np.arange(len(a))[:, None] != node[None])
+    assert (block.links == linked @ weight).all() and linked.any()
+    assert sorted(other) == sorted(node[linked.any(axis=0)])
+
+
+def test_blocks_compare_few_pairs_without_structure(monkeypatch):
+    rng = np.random.default_rng(1)
+    a, b = rng.standard_normal((2, 2000, 64))
+    compared, cosines = [], rangejoin.Block._cosines
+    monkeypatch.setattr(rangejoin.Block, "_cosines", lambda self, u, own, other: compared.append(len(own)) or cosines(self, u, own, other))
+    block = rangejoin.Block(np.arange(2000), np.arange(2000), a, 0.95)
+    block.meet(np.arange(2000) + 5000, np.arange(2000), b, np.ones(2000, np.int64))
+    assert compared and sum(compared) < len(a) * len(b) / 1000
+
+
 def test_range_join_of_nothing(spark):
     for rows in ([], [(1, None), (2, [])]):
         out = rangejoin.linked(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
