@@ -20,7 +20,7 @@ LEAST_LANGUAGE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those of no language; the model is fitted on a sample of the labelled rows."""
+    """Drops documents without letters and those of no language; the model learns from all labelled rows."""
     found = langid.identify(docs, langid.fit_on(docs.select("doc_id", "text", "lang"), F.lit(True)))
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)).select(docs.columns)
 

@@ -2,7 +2,7 @@
 
 Words (runs of letters) carry affix, character n-gram and whole-word features, hashed into one table of weights. Each
 line is a chain; transitions between languages are learned from lines that are spliced together, so lines that switch
-language are labelled word by word. A document's language has the highest sum of forward-backward marginals over its
+language are labelled word by word. All labelled rows are learned from, in one pass of tasks whose weights are averaged. A document's language has the highest sum of forward-backward marginals over its
 words; the score is that sum divided by the number of words.
 """
 
@@ -19,12 +19,15 @@ from pyspark.sql import types as T
 
 from growthlens.llm import tokens
 from growthlens.llm.crf import Adam, marginals, observed_pairs
+from growthlens.llm.shared import averaged
 
 UNDETERMINED = "und"
 #: Bits of the table of feature weights.
 TABLE_BITS = 16
 #: Bytes of text worked on at a time; the features of a block take about a hundred times as much memory.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+#: Step size of the pass over all rows at its begin.
+FIRST_RATE = 0.02
 
 
 def word_features(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,53 +93,118 @@ class Model:
         return row, found, lengths
 
 
-def fit(texts: list[str], languages: list[str], *, rounds: int = 15, spliced: float = 0.3, seed: int = 7) -> Model:
-    """Weights from whole texts of one language each. A share of the lines is spliced to a line of another text."""
-    names = sorted(set(languages))
+class _Lines:
+    """Labelled lines made ready for training. A share of the lines is spliced to the line before."""
+
+    def __init__(self, lines: list[tuple[str, int]], labels: int, rng: np.random.Generator, spliced: float):
+        chains: list[list[tuple[str, int]]] = []
+        for line in (lines[i] for i in rng.permutation(len(lines))):
+            if chains and rng.random() < spliced:
+                chains[-1].append(line)
+            else:
+                chains.append([line])
+        flat = [part for chain in chains for part in chain]
+        data, begin, end, self.number, row, _ = _words(pa.array([x for x, _ in flat], pa.large_string()))
+        label = np.array([y for _, y in flat], dtype=np.int64)[row]
+        lengths = np.bincount(np.repeat(np.arange(len(chains)), [len(c) for c in chains])[row], minlength=len(chains))
+        self.lengths = lengths[lengths > 0]
+        self.words = len(row)
+        if not self.words:
+            return
+        self.ids, self.size = word_features(data, begin, end)
+        self.edge, self.root = np.cumsum(self.size) - self.size, np.sqrt(self.size)[:, None]
+        self.seen = np.bincount(self.number * labels + label, minlength=len(self.size) * labels).reshape(-1, labels).astype(float)
+        self.pairs = observed_pairs(label, self.lengths, labels)
+        self.firsts = (np.cumsum(self.lengths) - self.lengths).astype(np.int64)
+        self.begun = np.bincount(label[self.firsts], minlength=labels)
+
+    def gradients(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        labels = len(model.languages)
+        score = _sums(model.weights, self.ids, self.edge) / self.root
+        found, pairs = marginals(score[self.number], self.lengths, model.transition, model.start)
+        got = np.stack([np.bincount(self.number, weights=found[:, k], minlength=len(self.size)) for k in range(labels)], axis=1)
+        rest = (self.seen - got) / self.root
+        spread = lambda k: np.bincount(self.ids, weights=np.repeat(rest[:, k], self.size), minlength=1 << TABLE_BITS)
+        gradient = np.stack([spread(k) for k in range(labels)], axis=1)
+        n, begun = self.words, self.begun - found[self.firsts].sum(axis=0)
+        return gradient / n - 1e-6 * model.weights, (self.pairs - pairs) / n, begun / len(self.firsts)
+
+
+def _labelled_lines(text: str, label: int) -> Iterator[tuple[str, int]]:
+    return ((x, label) for x in text.split("\n") if x.strip())
+
+
+def fit(
+    texts: list[str], languages: list[str], *, names: list[str] | None = None, rounds: int = 15, spliced: float = 0.3, seed: int = 7
+) -> Model:
+    """Weights from whole texts of one language each. A share of the lines is spliced to a line of another text.
+
+    names: the languages to tell apart; those of the texts by default.
+    """
+    names = sorted(set(languages)) if names is None else names
     label_of = {x: i for i, x in enumerate(names)}
-    lines = [(x, label_of[y]) for t, y in zip(texts, languages) for x in t.split("\n") if x.strip()]
-    rng = np.random.default_rng(seed)
-    chains: list[list[tuple[str, int]]] = []
-    for line in (lines[i] for i in rng.permutation(len(lines))):
-        if chains and rng.random() < spliced:
-            chains[-1].append(line)
-        else:
-            chains.append([line])
-    flat = [part for chain in chains for part in chain]
+    lines = [line for t, y in zip(texts, languages) for line in _labelled_lines(t, label_of[y])]
     model = Model(names, np.zeros((1 << TABLE_BITS, len(names))), np.zeros((len(names),) * 2), np.zeros(len(names)))
-    if not flat:
+    ready = _Lines(lines, len(names), np.random.default_rng(seed), spliced) if lines else None
+    if ready is None or not ready.words:
         return model
-    data, begin, end, number, row, _ = _words(pa.array([x for x, _ in flat], pa.large_string()))
-    label = np.array([y for _, y in flat])[row]
-    chain = np.repeat(np.arange(len(chains)), [len(c) for c in chains])[row]
-    lengths = np.bincount(chain, minlength=len(chains))
-    lengths = lengths[lengths > 0]
-    ids, size = word_features(data, begin, end)
-    edge, root = np.cumsum(size) - size, np.sqrt(size)[:, None]
-    labels = len(names)
-    seen = np.zeros((len(size), labels))
-    np.add.at(seen, (number, label), 1)
-    want_pairs = observed_pairs(label, lengths, labels)
-    firsts = (np.cumsum(lengths) - lengths).astype(np.int64)
     adam = Adam(model.weights, model.transition, model.start, rate=0.15)
     for _ in range(rounds):
-        score = _sums(model.weights, ids, edge) / root
-        found, pairs = marginals(score[number], lengths, model.transition, model.start)
-        got = np.stack([np.bincount(number, weights=found[:, k], minlength=len(size)) for k in range(labels)], axis=1)
-        rest = (seen - got) / root
-        spread = lambda k: np.bincount(ids, weights=np.repeat(rest[:, k], size), minlength=1 << TABLE_BITS)
-        gradient = np.stack([spread(k) for k in range(labels)], axis=1)
-        begun = np.bincount(label[firsts], minlength=labels) - found[firsts].sum(axis=0)
-        n = len(label)
-        adam.step(gradient / n - 1e-6 * model.weights, (want_pairs - pairs) / n, begun / len(firsts))
+        adam.step(*ready.gradients(model))
     return model
 
 
+def learn_all(rows: DataFrame, start: Model, *, spliced: float = 0.3, seed: int = 7) -> Model:
+    """The model after one pass over all rows (text, lang), from the weights of `start`.
+
+    Every task takes a step for each block of lines, and the weights of the tasks are averaged by their numbers of words.
+    Rows of other languages than those of the model are passed over.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(start)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], float]:
+        given = shared.value
+        model = Model(given.languages, given.weights.copy(), given.transition.copy(), given.start.copy())
+        adam, words, rng = Adam(model.weights, model.transition, model.start, rate=FIRST_RATE), 0, np.random.default_rng(seed)
+        label_of = {x: i for i, x in enumerate(model.languages)}
+        held, size = [], 0
+
+        def step() -> int:
+            ready = _Lines(held, len(model.languages), rng, spliced)
+            if ready.words:
+                adam.rate = FIRST_RATE / np.sqrt(1 + adam.turn)
+                adam.step(*ready.gradients(model))
+            held.clear()
+            return ready.words
+
+        for batch in batches:
+            for part in tokens.blocks(batch, "text", BLOCK):
+                for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
+                    for line in _labelled_lines(text, label_of[lang]) if lang in label_of else ():
+                        held.append(line)
+                        size += len(line[0])
+                        if size >= BLOCK:
+                            words, size = words + step(), 0
+        if held:
+            words += step()
+        tokens.release()
+        return [model.weights, model.transition, model.start], float(words)
+
+    found = averaged(rows.select("text", "lang"), learn)
+    if found is None:
+        return start
+    labels = len(start.languages)
+    weights, transition, first = np.split(found, [labels << TABLE_BITS, (labels << TABLE_BITS) + labels * labels])
+    return Model(start.languages, weights.reshape(-1, labels), transition.reshape(labels, labels), first)
+
+
 def fit_on(
     docs: DataFrame, trained: Column, *, per_language: int = 120, most_languages: int = 64, most_chars: int = 200_000
 ) -> Model:
-    """A model from a sample of labelled rows: about `per_language` rows of each of the `most_languages` most frequent
-    languages, chosen by a hash of the id, each of at most `most_chars` characters. Only the sample reaches the driver.
+    """A model from all labelled rows of the `most_languages` most frequent languages.
+
+    About `per_language` rows of each, chosen by a hash of the id, each of at most `most_chars` characters, only give the
+    weights from which all tasks start; no others reach the driver.
     """
     rows = docs.where(trained & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
@@ -145,9 +213,10 @@ def fit_on(
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
     chance = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / (1 << 20)
     picked = rows.where((chance < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))) & (F.length("text") <= most_chars))
-    sample = picked.select("doc_id", "text", "lang").limit(2 * per_language * len(counts)).toArrow()
-    sample = sample.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit(sample.column("text").to_pylist(), sample.column("lang").to_pylist())
+    first = picked.select("doc_id", "text", "lang").limit(2 * per_language * len(counts)).toArrow()
+    first = first.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    names = sorted(r["lang"] for r in counts)
+    return learn_all(rows, fit(first.column("text").to_pylist(), first.column("lang").to_pylist(), names=names))
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
@@ -180,5 +249,6 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*kept, pa.array(predicted, pa.string()), pa.array(np.minimum(score, 1.0))], [f.name for f in schema.fields]
                 )
+        tokens.release()
 
     return base.mapInArrow(run, schema)

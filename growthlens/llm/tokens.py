@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,15 @@ LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
 
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: Python workers are kept and would hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not every C library has it
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit numbers."""
     x = x ^ (x >> np.uint64(33))

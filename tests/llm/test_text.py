@@ -95,6 +95,27 @@ def test_languages(documents):
     assert [r.lang_pred for r in langid.identify(docs.limit(2), langid.fit_on(docs, F.lit(False))).collect()] == ["und"] * 2
 
 
+def test_languages_are_learned_from_all_rows(spark, monkeypatch):
+    words = {"en": "the cat sat on that mat", "fr": "le chat est sur la table"}
+    # the odd words stand in rows that are too long for the first weights
+    rows = [(i, f"{words[x]} {i}", x) for i in range(80) for x in words] + [(900 + i, "zyqo wexa " * 30, "fr") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    counted = []
+    average = langid.averaged
+
+    def seen(rows, learn):
+        counted.extend(learn([b])[1] for b in rows.toArrow().to_batches())
+        return average(rows, learn)
+
+    monkeypatch.setattr(langid, "averaged", seen)
+    model = langid.fit_on(docs, F.lit(True), per_language=5, most_chars=100)
+    assert sum(counted) == sum(len(re.findall("[a-z]+", t)) for _, t, _ in rows)
+    found = langid.identify(spark.createDataFrame([(1, "zyqo wexa"), (2, "the cat")], "doc_id long, text string"), model)
+    assert [r.lang_pred for r in found.orderBy("doc_id").collect()] == ["fr", "en"]
+    alone = langid.fit([words["en"], words["fr"]], ["en", "fr"])
+    assert model.label(lm.pa.array(["zyqo wexa"]))[1][0, 1] > alone.label(lm.pa.array(["zyqo wexa"]))[1][0, 1]
+
+
 def test_quality_and_toxicity_learn_and_take_odd_texts(spark, documents):
     rows = [(i, prose(i, 60) + (" vile foul" if i % 3 == 0 else ""), int(i % 2)) for i in range(200)]
     rows = [(i, t if good else "!! ".join(t.upper().split()), good) for i, t, good in rows]
