@@ -38,6 +38,8 @@ SALT_ROWS = 512
 MOST_TURNS, SALTS = 2, 4
 #: How many n-grams before a shared one are compared for an earlier one.
 LOOK_BACK = 3
+#: Pairs whose sets or bitmaps are compared at a time.
+PAIR_ROWS = 1024
 #: Ids broadcast at most; beyond that the joins shuffle.
 BROADCAST_IDS = 200_000
 
@@ -112,11 +114,13 @@ def _profile(n: int):
     """Rows (doc_id, text_hash, n, set_a, set_b, null, null) of documents and (null, ..., ngram, count) of repeats."""
 
     def repeats(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-        edge = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
-        count = np.diff(np.concatenate((edge, [len(ids)])))
-        often = count >= REPEATS
-        return ids[edge[often]].astype(np.int64), count[often]
+        ids = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        found.clear()
+        ids.sort()
+        # only a run of so many has the same id so far ahead
+        often = np.unique(ids[: 1 - REPEATS][ids[: 1 - REPEATS] == ids[REPEATS - 1 :]])
+        count = np.searchsorted(ids, often, side="right") - np.searchsorted(ids, often)
+        return often.astype(np.int64), count
 
     def empty(n: int) -> pa.Array:
         return pa.nulls(n, pa.int64())
@@ -138,9 +142,10 @@ def _profile(n: int):
                 if held >= BLOCK_NGRAMS:
                     ids, count = repeats(found)
                     yield pa.RecordBatch.from_arrays([empty(len(ids))] * 5 + [pa.array(ids), pa.array(count, pa.int64())], names)
-                    found, held = [], 0
+                    held = 0
         ids, count = repeats(found)
         yield pa.RecordBatch.from_arrays([empty(len(ids))] * 5 + [pa.array(ids), pa.array(count, pa.int64())], names)
+        T.release()
 
     return run, "doc_id long, text_hash long, n long, set_a long, set_b long, ngram long, count long"
 
@@ -165,6 +170,7 @@ def _prefixes(n: int, percent: int, frequent):
                     [pa.array(key.view(np.int64)), pa.array(salt), pa.array(doc), pa.array(size[row], pa.int32()), pa.array(place, pa.int32())],
                     ["ngram", "salt", "doc", "n", "place"],
                 )
+        T.release()
 
     return run, "ngram long, salt int, doc long, n int, place int"
 
@@ -179,6 +185,7 @@ def _blobs(n: int, frequent):
                 edge = np.concatenate(([0], np.cumsum(size)))
                 grams = [keys[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(grams, pa.binary())], ["doc", "grams"])
+        T.release()
 
     return run, "doc long, grams binary"
 
@@ -197,10 +204,19 @@ def _bitmaps(n: int, frequent):
                     bits[hashes[i:j] & np.uint64(len(bits) - 1)] = True
                     maps.append(np.packbits(bits, bitorder="little").tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(maps, pa.binary())], ["doc", "n", "bits"])
+        T.release()
 
     return run, "doc long, n long, bits binary"
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of few rows, so that few sets are held as Python objects; memory is given back at the end."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, PAIR_ROWS):
+            yield batch.slice(i, PAIR_ROWS)
+    T.release()
+
+
 def _possible(percent: int):
     """Keeps the pairs whose sets may reach the similarity: an n-gram whose bit the other map lacks is not shared."""
 
@@ -208,7 +224,7 @@ def _possible(percent: int):
         return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             good = np.zeros(batch.num_rows, dtype=bool)
             columns = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")]
             for i, (m, k, x, y) in enumerate(zip(*columns)):
@@ -240,7 +256,7 @@ def _verified(percent: int):
     """Keeps the pairs whose sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             xs, ys = batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist()
             good = np.zeros(batch.num_rows, dtype=bool)
             for i, (x, y) in enumerate(zip(xs, ys)):

@@ -45,6 +45,20 @@ def test_components_equal_brute_force(documents, n, percent):
     assert got == brute(texts, n, percent)
 
 
+def test_repeats_are_counted_and_memory_is_given_back(monkeypatch):
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(20_000)) for i in range(20)] + ["a b c d e f"] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(range(25)), pa.array(range(25)), pa.array(texts)], ["doc_id", "text_hash", "text"])
+    sizes = []
+    release = jaccard.T.release
+    monkeypatch.setattr(jaccard.T, "release", lambda: (sizes.append(1), release()))
+    run, _ = jaccard._profile(4)
+    rows = pa.Table.from_batches(list(run(iter([batch])))).to_pylist()
+    assert sorted(r["count"] for r in rows if r["ngram"] is not None) == [5, 5, 5]
+    assert len(sizes) == 1 and sorted(r["doc_id"] for r in rows if r["ngram"] is None) == list(range(25))
+
+
 def test_frequent_ngrams_are_salted_without_loss(documents, monkeypatch):
     monkeypatch.setattr(jaccard, "SALT_ROWS", 3)
     base = prose(5, 80)
