@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from growthlens.llm.tokens import blocks, text_bytes
+from growthlens.llm.tokens import blocks, release, text_bytes
 
 # Fixed values of the byte-level format: the pattern that cuts texts, and the printable bytes that stand for themselves.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -28,6 +28,13 @@ PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 #: Distinct pre-tokens that a Python worker remembers; beyond that it starts anew.
 REMEMBERED = 250_000
+#: Largest sizes in bytes of the words that are merged together in one table.
+SHORT = (8, 16, 32)
+#: Bits of the table that screens pairs of symbols.
+SCREEN_BITS = 19
+_SPREAD, _SCREEN_SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - SCREEN_BITS)
+#: Bytes of text or of ids worked on at a time; strings and positions of a block take some thirty times as much memory.
+BLOCK = 1 << 19
 
 
 def _byte_letters() -> dict[str, int]:
@@ -62,17 +69,95 @@ class Vocabulary:
         key = left << 32 | right
         self.rank_of = np.argsort(key)
         self.keys = key[self.rank_of]
+        self.screen = np.zeros(1 << SCREEN_BITS, dtype=bool)  # most pairs don't merge
+        self.screen[(key.view(np.uint64) * _SPREAD) >> _SCREEN_SHIFT] = True
         self.merged = np.array([ids["".join(m)] for m in merges], dtype=np.int64)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols, -1 where they don't merge."""
         key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank_of[at], -1)
+        out = np.full(len(key), -1, dtype=np.int64)
+        likely = np.flatnonzero(self.screen[(key.view(np.uint64) * _SPREAD) >> _SCREEN_SHIFT])
+        some = key[likely]
+        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        hit = self.keys[at] == some
+        out[likely[hit]] = self.rank_of[at[hit]]
+        return out
 
 
 def merge(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words in one array, and the number of ids of each word."""
+    """Ids of all words in one array, and the number of ids of each word.
+
+    Short words lie in tables of one row each, in which every round merges the lowest rank of each row; the places of
+    long ones are indexed by rank.
+    """
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    ids, count, least = [], np.zeros(len(words), dtype=np.int64), -1
+    groups = []
+    for most in (*SHORT, None):
+        rows = np.flatnonzero((size > least) & (size <= most) if most is not None else size > least)
+        least = most
+        if len(rows):
+            part = [words[i] for i in rows.tolist()]
+            found, count[rows] = _merge_long(part, vocabulary) if most is None else _merge_short(part, size[rows], vocabulary)
+            ids.append(found)
+            groups.append(rows)
+    if len(groups) == 1:
+        return ids[0], count
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    rows = np.concatenate(groups) if groups else np.zeros(0, np.int64)
+    begin = np.empty(len(words), dtype=np.int64)
+    begin[rows] = np.cumsum(count[rows]) - count[rows]
+    return gather(flat, begin, count), count
+
+
+def _merge_short(words: list[bytes], size: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """`merge` for words of similar, small sizes. A round takes one symbol from each row that still merges."""
+    none = np.iinfo(np.int64).max
+    width = max(int(size.max()), 1)
+    held = np.arange(width) < size[:, None]
+    symbol = np.full((len(words), width), -1, dtype=np.int64)
+    symbol[held] = vocabulary.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
+    rank = np.full((len(words), width), none)  # of the pair that begins there
+
+    def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        found = vocabulary.ranks(left, right)
+        return np.where((found >= 0) & (right >= 0), found, none)
+
+    pair = held[:, 1:]
+    rank[:, :-1][pair] = ranks(symbol[:, :-1][pair], symbol[:, 1:][pair])
+    row, ended = np.arange(len(words)), []
+    while len(row):
+        at = rank.argmin(axis=1)
+        low = rank[np.arange(len(row)), at]
+        go = low < none
+        if not go.all():
+            ended.append((row[~go], symbol[~go]))
+            row, symbol, rank, at, low = row[go], symbol[go], rank[go], at[go], low[go]
+            if not len(row):
+                break
+        line = np.arange(len(row))
+        symbol[line, at] = vocabulary.merged[low]
+        stays = np.ones(symbol.shape, dtype=bool)
+        stays[line, at + 1] = False
+        symbol, rank = (x[stays].reshape(len(row), -1) for x in (symbol, rank))
+        last = symbol.shape[1] - 1
+        new = symbol[line, at]
+        rank[line, at] = np.where(at < last, ranks(new, symbol[line, np.minimum(at + 1, last)]), none)
+        inner = np.flatnonzero(at > 0)
+        rank[inner, at[inner] - 1] = ranks(symbol[inner, at[inner] - 1], new[inner])
+    count = np.zeros(len(words), dtype=np.int64)
+    for rows, found in ended:
+        count[rows] = (found >= 0).sum(axis=1)
+    begin, out = np.cumsum(count) - count, np.empty(int(count.sum()), dtype=np.int64)
+    for rows, found in ended:
+        real = found >= 0
+        out[(begin[rows][:, None] + np.arange(found.shape[1]))[real]] = found[real]
+    return out, count
+
+
+def _merge_long(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """`merge` by an index of places, for words of any size."""
     size = np.array([len(w) for w in words], dtype=np.int64)
     symbol = vocabulary.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
     n = len(symbol)
@@ -221,9 +306,10 @@ def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
-            for part in blocks(batch, text, 4 << 20):
+            for part in blocks(batch, text, BLOCK):
                 ids, size = encoder.encode([x or "" for x in part.column(text).to_pylist()])
                 yield _with(part, ["n_tokens", "ids"], [pa.array(size, pa.int64()), _binary(ids.astype("<u4"), size, 4).cast(pa.binary())])
+        release()
 
     return base.mapInArrow(run, schema)
 
@@ -239,7 +325,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, *, ids: str = "ids") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         for batch in batches:
-            for part in blocks(batch.set_column(batch.schema.get_field_index(ids), ids, batch.column(ids).cast(pa.large_binary())), ids, 4 << 20):
+            for part in blocks(batch.set_column(batch.schema.get_field_index(ids), ids, batch.column(ids).cast(pa.large_binary())), ids, BLOCK):
                 data, offsets = text_bytes(part.column(ids))
                 numbers = np.frombuffer(data.tobytes(), dtype="<u4").astype(np.int64)
                 size = vocabulary.piece_size[numbers]
@@ -248,5 +334,6 @@ def decode(encoded: DataFrame, tokenizer_path: str, *, ids: str = "ids") -> Data
                 texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
                 part = part.set_column(part.schema.get_field_index(ids), ids, part.column(ids).cast(pa.binary()))
                 yield _with(part, ["decoded"], [pa.array(texts, pa.string())])
+        release()
 
     return base.mapInArrow(run, schema)

@@ -4,6 +4,8 @@ import collections
 import math
 import os
 import re
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -192,6 +194,81 @@ def test_language_model_base_and_probability(documents, monkeypatch, most):
         assert r.score < 0 and math.isfinite(r.score)
 
 
+def test_tokens_hold_little_of_a_batch_at_a_time():
+    """The function that a task runs, on a batch of 8 MB of distinct words; a block of 4 MB took more than 200 MB."""
+    rng = np.random.default_rng(5)
+    words = rng.integers(97, 123, (1_000_000, 8)).astype(np.uint8)
+    words[:, 7] = 32
+    flat = words.tobytes().decode()
+    batch = lm.pa.RecordBatch.from_arrays([lm.pa.array([flat[i : i + 4000] for i in range(0, len(flat), 4000)])], ["text"])
+    held = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x, _jid=None))))
+    held.drop, held.schema, held.mapInArrow = lambda *names: held, SimpleNamespace(fields=[]), lambda run, schema: run
+    encode, decode = bpe.encode(held, TOKENIZER), bpe.decode(held, TOKENIZER)
+    texts, most = [], []
+    tracemalloc.start()
+    for part in encode(iter([batch])):
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.reset_peak()
+        for back in decode(iter([part])):
+            texts += back.column("decoded").to_pylist()
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    assert "".join(texts) == flat
+    assert max(most) < 130e6
+
+
+def test_short_words_merge_like_long_ones(monkeypatch):
+    vocabulary, rng = bpe.Vocabulary(TOKENIZER), np.random.default_rng(3)
+    words = [w.encode() for w in prose(4, 30000).split()] + [b"", b"a", b"a" * 31, b"a" * 32, b"a" * 33, b" " * 40, b"ab" * 200]
+    words += [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in rng.integers(0, 40, 3000)]
+    ids, size = bpe._merge_long(words, vocabulary)
+    looked = []
+    monkeypatch.setattr(vocabulary, "ranks", lambda *a, f=vocabulary.ranks: looked.append(1) or f(*a))
+    found, sizes = bpe.merge([w for w in words if len(w) <= 32], vocabulary)
+    assert len(looked) < 250  # some rounds, not every distinct rank
+    whole = bpe.merge(words, vocabulary)
+    assert (whole[0] == ids).all() and (whole[1] == size).all()
+    assert (sizes == size[[len(w) <= 32 for w in words]]).all() and len(found) == sizes.sum()
+    assert [len(x) for x in bpe.merge([], vocabulary)] == [0, 0]
+
+
+@pytest.mark.parametrize("large", [1.0, 60.0])
+def test_attention_gradients_are_those_of_the_log_probability(large):
+    rng = np.random.default_rng(2)
+    shapes = {"embed": (lm.UNITS, lm.WIDTH), "query": (lm.WIDTH,) * 2, "key": (lm.WIDTH,) * 2, "value": (lm.WIDTH,) * 2, "out": (lm.WIDTH, lm.CLASSES), "bias": (lm.CLASSES,), "near": (lm.WINDOW,)}
+    w = {k: rng.normal(0, 0.3, s) for k, s in shapes.items()}
+    w["bias"] *= large
+    w["near"] *= large
+    u, target = rng.integers(0, 50, (lm.GROUP + 3, lm.WINDOW)), rng.integers(0, lm.CLASSES, (lm.GROUP + 3, lm.WINDOW))
+
+    def value():
+        x, i = w["embed"][u], np.arange(lm.WINDOW)
+        p = x @ w["query"] @ (x @ w["key"]).transpose(0, 2, 1) / math.sqrt(lm.WIDTH) + w["near"][np.maximum(i[:, None] - i, 0)]
+        p = np.where(i[:, None] >= i, np.exp(p - p.max(axis=2, keepdims=True)), 0)
+        y = (p / p.sum(axis=2, keepdims=True) @ (x @ w["value"]) + x) @ w["out"] + w["bias"]
+        top = y.max(axis=2)
+        return (np.take_along_axis(y, target[..., None], 2)[..., 0] - top - np.log(np.exp(y - top[..., None]).sum(axis=2))).mean()
+
+    got = lm._loss_gradients(w, u, target)
+    for k, at in (("embed", (u[0, 0], 3)), ("query", (1, 2)), ("key", (4, 0)), ("value", (5, 6)), ("out", (7, 8)), ("bias", (9,)), ("near", (2,))):
+        was, step = w[k][at], 1e-5
+        w[k][at] = was + step
+        high = value()
+        w[k][at] = was - step
+        low = value()
+        w[k][at] = was
+        assert got[k][at] == pytest.approx((high - low) / (2 * step), rel=1e-4, abs=1e-9)
+
+
+def test_span_hashes_are_one_polynomial_at_any_size():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 300_000).astype(np.uint8)
+    begin = np.array([0, 5, 70_000, 200_000, 270_000])
+    end = np.array([3, 66_000, 200_000, 265_000, 300_000])
+    alone = [lm.tokens.span_hashes(data[a:b], np.zeros(1, np.int64), np.array([b - a]))[0] for a, b in zip(begin, end)]
+    assert (lm.tokens.span_hashes(data, begin, end) == np.array(alone)).all() and len(set(alone)) == 5
+
+
 def test_attention_windows_score_each_id_once():
     ids = np.arange(200) % 50
     model = lm.fit([ids] * 3, 60, 59, steps=60)
