@@ -31,6 +31,8 @@ WINDOW = STRIDE + CONTEXT
 WIDTH, CLASSES, UNITS = 16, 64, 2048
 #: Windows worked on at a time; their weights should fit into a core's cache.
 WINDOWS = 256
+#: Windows whose gradients are computed together.
+GROUP = 64
 #: Step size of the pass over all texts at its begin.
 FIRST_RATE = 0.004
 #: Word counts that every task gets: 16 bytes each; the counts of all other words are joined.
@@ -144,14 +146,19 @@ class Attention:
     weights: dict[str, np.ndarray]
 
     def tables(self) -> tuple[np.ndarray, ...]:
+        """Of every unit, and of a last one that nobody sees: query and residual, key and value with a one behind."""
         w = self.weights
         ones = np.ones((len(w["embed"]), 1))
-        return tuple(t.astype(np.float32) for t in (w["embed"] @ w["query"] / np.sqrt(WIDTH), w["embed"] @ w["key"], np.hstack([w["embed"] @ w["value"], ones]), w["embed"]))
+        asks = np.hstack([w["embed"] @ w["query"] / np.sqrt(WIDTH), w["embed"], ones])
+        gives = np.hstack([w["embed"] @ w["key"], w["embed"] @ w["value"], ones])
+        return tuple(np.vstack([t, np.zeros(t.shape[1])]).astype(np.float32) for t in (asks, gives))
 
     def log_probability(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each text, its end included; ids: all texts, one after the other."""
-        query, key, value, embed = self.tables()
+        asks, gives = self.tables()
+        query, embed, key, value = asks[:, :WIDTH], asks[:, WIDTH:-1], gives[:, :WIDTH], gives[:, WIDTH:-1]
         out, bias = self.weights["out"].astype(np.float32), self.weights["bias"].astype(np.float32)
+        outward, ones = np.vstack([out, bias]), np.ones((CLASSES, 1), np.float32)
         near = self.weights["near"].astype(np.float32)
         reach = np.arange(WINDOW)[None, :] - np.arange(CONTEXT, WINDOW)[:, None]
         causal = np.where(reach <= 0, np.exp(near[np.minimum(-reach, WINDOW - 1)]), 0).astype(np.float32)
@@ -159,74 +166,120 @@ class Attention:
         full = np.full(int((size + 2).sum()), self.marker, dtype=np.int64)
         begin = np.cumsum(size + 2) - (size + 2)
         full[np.repeat(begin + 1, size) + np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)] = ids
+        units, kinds, shares = self.unit[full], self.kind[full], self.share[full].astype(np.float32)
+        unseen = len(asks) - 1
         windows = -(-(size + 1) // STRIDE)
         row = np.repeat(np.arange(len(size)), windows)
         start = begin[row] + STRIDE * (np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows))
-        total = np.zeros(len(size))
+        scored = np.empty(int((size + 1).sum()), np.float32)  # positions in order
+        done = 0
         # exponentials need no shift where no logit can be large: hidden states are convex sums of values, plus one embedding
-        largest = np.abs(value[:, :-1]).max(initial=0) + np.abs(embed).max(initial=0)
-        small = WIDTH * largest * np.abs(out).max(initial=0) + np.abs(bias).max(initial=0) < 80
-        steep = WIDTH * np.abs(query).max(initial=0) * np.abs(key).max(initial=0) > 30
-        keys = np.ascontiguousarray(key)
-        for a in range(0, len(row), WINDOWS):
-            own, first = row[a : a + WINDOWS], start[a : a + WINDOWS]
+        largest = np.abs(value).max(axis=0)[:WIDTH] + np.abs(embed).max(axis=0)[:WIDTH]
+        small = (largest @ np.abs(out) + np.abs(bias)).max() < 80
+        steep = np.abs(query).max(axis=0) @ np.abs(key).max(axis=0) > 30
+        for a in range(0, len(row), GROUP):
+            own, first = row[a : a + GROUP], start[a : a + GROUP]
             place = first[:, None] + np.arange(-CONTEXT, STRIDE)
             seen = (place >= begin[own][:, None]) & (place < (begin + size + 1)[own][:, None])
-            unit = self.unit[full[np.where(seen, place, 0)]]
-            weight = query[unit[:, CONTEXT:]] @ keys[unit].transpose(0, 2, 1)
+            unit = np.where(seen, units[np.where(seen, place, 0)], unseen)
+            asking, given = np.take(asks, unit[:, CONTEXT:], axis=0), np.take(gives, unit, axis=0)
+            weight = asking[..., :WIDTH] @ given[..., :WIDTH].transpose(0, 2, 1)
             if steep:
                 np.clip(weight, -30, 30, out=weight)
             np.exp(weight, out=weight)
             weight *= causal
-            held = value[unit]
-            held *= seen[..., None]
-            mixed = weight @ held
-            hidden = mixed[..., :-1] / np.maximum(mixed[..., -1:], 1e-30) + embed[unit[:, CONTEXT:]]
+            mixed = weight @ given[..., WIDTH:]
+            hidden = asking[..., WIDTH:]
+            hidden[..., :WIDTH] += mixed[..., :-1] / np.maximum(mixed[..., -1:], 1e-30)
             wanted = seen[:, CONTEXT:]
-            target = full[place[:, CONTEXT:][wanted] + 1]
-            logits = hidden[wanted] @ out + bias
+            target = place[:, CONTEXT:][wanted] + 1
+            logits = hidden.reshape(-1, WIDTH + 1) @ outward if wanted.all() else hidden[wanted] @ outward
             if not small:
                 logits -= logits.max(axis=1, keepdims=True)
-            got = logits[np.arange(len(target)), self.kind[target]] + self.share[target]
-            got -= np.log(np.exp(logits, out=logits) @ np.ones(CLASSES, np.float32))
-            total += np.bincount(np.broadcast_to(own[:, None], wanted.shape)[wanted], weights=got, minlength=len(size))
-        return total
+            got = logits.reshape(-1)[np.arange(len(target)) * CLASSES + kinds[target]] + shares[target]
+            got -= np.log(np.exp(logits, out=logits) @ ones)[:, 0]
+            scored[done : done + len(got)] = got
+            done += len(got)
+        return np.add.reduceat(scored, np.cumsum(size + 1) - (size + 1), dtype=np.float64) if len(size) else np.zeros(0)
 
 
 def _loss_gradients(w: dict[str, np.ndarray], u: np.ndarray, target: np.ndarray, real: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Gradients of the mean log probability of the targets (classes) behind the units u; both have one window a row.
 
-    real: which positions count, all by default.
+    real: which positions count, all by default. Windows are worked on in groups that fit into a core's cache.
     """
+    n = target.size if real is None else max(int(real.sum()), 1)
+    total = None
+    for i in range(0, len(u), GROUP):
+        part = slice(i, i + GROUP)
+        d = _ascents(w, u[part], target[part], None if real is None else real[part])
+        if total is None:
+            total = d
+        else:
+            for k in d:
+                total[k] += d[k]
+    return {k: x / n for k, x in total.items()}
+
+
+def _ascents(w: dict[str, np.ndarray], u: np.ndarray, target: np.ndarray, real: np.ndarray | None) -> dict[str, np.ndarray]:
+    """Gradients of the sum of the log probabilities. Softmax weights stay exponentials, their sums divide narrow arrays."""
+    dtype = w["embed"].dtype
+    size, m = u.shape, u.size
     reach = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
     masked = reach < 0
-    scale = w["embed"].dtype.type(1 / np.sqrt(WIDTH))
-    x = w["embed"][u]
-    q, k, v = x @ (w["query"] * scale), x @ w["key"], x @ w["value"]
+    near = w["near"][np.maximum(reach, 0)]
+    scale = dtype.type(1 / np.sqrt(WIDTH))
+    inward = np.hstack([w["query"] * scale, w["key"], w["value"]])
+    outward = np.vstack([w["out"], w["bias"]])
+    x = np.ones((m, WIDTH + 1), dtype)
+    x[:, :WIDTH] = np.take(w["embed"], u.ravel(), axis=0)
+    qkv = x[:, :WIDTH] @ inward
+    q, k = (qkv[:, j : j + WIDTH].reshape(*size, WIDTH) for j in (0, WIDTH))
+    v = np.ones((*size, WIDTH + 1), dtype)  # a column of ones gives the sums of the weights
+    v[..., :WIDTH] = qkv[:, 2 * WIDTH :].reshape(*size, WIDTH)
     p = q @ k.transpose(0, 2, 1)
-    p += np.where(masked, p.dtype.type(-1e9), w["near"][np.maximum(reach, 0)])
-    p -= p.max(axis=2, keepdims=True)
-    np.exp(p, out=p)
-    p /= p.sum(axis=2, keepdims=True)
-    h = (p @ v + x).reshape(-1, WIDTH)
-    y = h @ w["out"] + w["bias"]
-    y -= y.max(axis=1, keepdims=True)
+    # exponentials need no shift where no logit can be large
+    if max(p.max(), -p.min()) + np.abs(near).max() < 80:
+        np.exp(p, out=p)
+        p *= np.where(masked, dtype.type(0), np.exp(near))
+    else:
+        p += np.where(masked, dtype.type(-1e9), near)
+        p -= p.max(axis=2, keepdims=True)
+        np.exp(p, out=p)
+    mixed = p @ v
+    mass = mixed[..., WIDTH:]
+    mixed = mixed[..., :WIDTH] / mass
+    h = np.ones((m, WIDTH + 1), dtype)
+    np.add(mixed.reshape(m, WIDTH), x[:, :WIDTH], out=h[:, :WIDTH])
+    y = h @ outward
+    if max(y.max(), -y.min()) >= 80:
+        y -= y.max(axis=1, keepdims=True)
     np.exp(y, out=y)
     # backwards; the sign is that of ascent
-    n = target.size if real is None else max(int(real.sum()), 1)
-    y /= y.sum(axis=1, keepdims=True) * -n
-    y[np.arange(len(y)), target.ravel()] += y.dtype.type(1 / n)
+    s = y @ np.ones((CLASSES, 1), dtype)
+    y.reshape(-1)[np.arange(m) * CLASSES + target.ravel()] -= s[:, 0]
+    s = -1 / s
     if real is not None:
-        y *= real.reshape(-1, 1)
-    dh = (y @ w["out"].T).reshape(x.shape)
-    ds = dh @ v.transpose(0, 2, 1)
-    ds -= (ds * p).sum(axis=2, keepdims=True)
+        s *= real.reshape(-1, 1).astype(dtype)
+    dh = (y @ w["out"].T) * s
+    h *= s
+    out = h.T @ y
+    g = np.empty((*size, WIDTH + 1), dtype)
+    g[..., :WIDTH] = dh.reshape(*size, WIDTH)
+    g[..., WIDTH] = -np.einsum("ijk,ijk->ij", g[..., :WIDTH], mixed)
+    g /= mass
+    ds = g @ v.transpose(0, 2, 1)
     ds *= p
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, p.transpose(0, 2, 1) @ dh
-    dx = dh + dq @ (w["query"].T * scale) + dk @ w["key"].T + dv @ w["value"].T
-    by = lambda a, b: a.reshape(-1, a.shape[-1]).T @ b.reshape(-1, b.shape[-1])
-    d = {"query": by(x, dq) * scale, "key": by(x, dk), "value": by(x, dv), "out": by(h, y), "bias": y.sum(axis=0)}
-    d["embed"] = np.stack([np.bincount(u.ravel(), weights=dx[..., j].ravel(), minlength=UNITS) for j in range(WIDTH)], axis=1)
+    dqkv = np.empty((*size, 3 * WIDTH), dtype)
+    np.matmul(ds, k, out=dqkv[..., :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., WIDTH : 2 * WIDTH])
+    np.matmul(p.transpose(0, 2, 1), g[..., :WIDTH], out=dqkv[..., 2 * WIDTH :])
+    dqkv = dqkv.reshape(m, 3 * WIDTH)
+    dx = dh + dqkv @ inward.T
+    into = x[:, :WIDTH].T @ dqkv
+    d = {"query": into[:, :WIDTH] * scale, "key": into[:, WIDTH : 2 * WIDTH], "value": into[:, 2 * WIDTH :], "out": out[:-1], "bias": out[-1]}
+    place = u.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    d["embed"] = np.bincount(place.ravel(), weights=dx.ravel(), minlength=UNITS * WIDTH).reshape(UNITS, WIDTH)
     d["near"] = np.bincount(np.maximum(reach, 0).ravel(), weights=np.where(masked, 0, ds.sum(axis=0)).ravel(), minlength=WINDOW)
     return d
 

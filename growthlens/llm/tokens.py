@@ -26,6 +26,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _NEAR_POWERS = _powers(_BASE, _FAR)
 with np.errstate(over="ignore"):
     _FAR_BASE = _NEAR_POWERS[-1] * _BASE
+_INVERSE_POWERS = _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), _FAR)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -95,23 +96,36 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
 
 
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of every span; spans are in order and do not overlap."""
+    """A 64-bit hash of the bytes of every span; spans are in order and do not overlap.
+
+    It is a polynomial in an odd base modulo 2^64. Running sums over a stretch of bytes give those of its spans: their
+    difference, divided by the power at which the span begins.
+    """
     out = np.empty(len(begin), dtype=np.uint64)
-    size = end - begin
-    filled = np.concatenate(([0], np.cumsum(size)))
     first = 0
     while first < len(begin):
-        last = max(first + 1, int(np.searchsorted(filled, filled[first] + BLOCK_BYTES, side="right")) - 1)
-        n = size[first:last]
-        local = filled[first:last] - filled[first]
-        place = np.arange(filled[last] - filled[first]) - np.repeat(local, n)
-        value = _BYTE[data[np.repeat(begin[first:last], n) + place]]
-        value *= _NEAR_POWERS[place & (_FAR - 1)]
-        if n.max(initial=0) > _FAR:
-            value *= _powers(_FAR_BASE, int(n.max() >> 16) + 1)[place >> 16]
-        out[first:last] = np.add.reduceat(value, local) if len(value) else 0
+        start = begin[first]
+        last = int(np.searchsorted(end, start + _FAR - 1, side="right"))
+        if last <= first:
+            out[first] = _long_hash(data[start : end[first]])
+            first += 1
+            continue
+        sums = np.zeros(end[last - 1] - start + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[data[start : end[last - 1]]] * _NEAR_POWERS[: len(sums) - 1], out=sums[1:])
+        a = begin[first:last] - start
+        out[first:last] = (sums[end[first:last] - start] - sums[a]) * _INVERSE_POWERS[a]
         first = last
-    return mix(out ^ size.astype(np.uint64))
+    return mix(out ^ (end - begin).astype(np.uint64))
+
+
+def _long_hash(data: np.ndarray) -> np.uint64:
+    """The sum of a span that is longer than the tables of powers."""
+    total, power = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for i in range(0, len(data), _FAR):
+        part = data[i : i + _FAR]
+        total += power * np.sum(_BYTE[part] * _NEAR_POWERS[: len(part)])
+        power *= _FAR_BASE
+    return total[0]
 
 
 def counts_per_text(begin: np.ndarray, offsets: np.ndarray) -> np.ndarray:
