@@ -96,11 +96,16 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
 
 
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of every span; spans are in order and do not overlap.
+    """A 64-bit hash of the bytes of every span; spans do not overlap, but may come in any order.
 
     It is a polynomial in an odd base modulo 2^64. Running sums over a stretch of bytes give those of its spans: their
     difference, divided by the power at which the span begins.
     """
+    if (begin[1:] < begin[:-1]).any():
+        order = np.argsort(begin)
+        out = np.empty(len(begin), dtype=np.uint64)
+        out[order] = span_hashes(data, begin[order], end[order])
+        return out
     out = np.empty(len(begin), dtype=np.uint64)
     first = 0
     while first < len(begin):

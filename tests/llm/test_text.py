@@ -267,6 +267,8 @@ def test_span_hashes_are_one_polynomial_at_any_size():
     end = np.array([3, 66_000, 200_000, 265_000, 300_000])
     alone = [lm.tokens.span_hashes(data[a:b], np.zeros(1, np.int64), np.array([b - a]))[0] for a, b in zip(begin, end)]
     assert (lm.tokens.span_hashes(data, begin, end) == np.array(alone)).all() and len(set(alone)) == 5
+    mixed = np.array([3, 0, 4, 2, 1])
+    assert (lm.tokens.span_hashes(data, begin[mixed], end[mixed]) == np.array(alone)[mixed]).all()
 
 
 def test_attention_windows_score_each_id_once():
